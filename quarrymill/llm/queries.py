@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentences
+from . import sentences, spans, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +32,48 @@ def p1_sent_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """sent_range put right."""
     ranges = sentences.sent_ranges(_table(spark, folder, "chunks"))
     return ranges.select("chunk_id", "doc_id", ranges.sent_range[0].alias("sent_first"), ranges.sent_range[1].alias("sent_last"))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Quotes written with other characters than the passage they quote."""
+    return visible.disguised_quotes(_table(spark, folder, "verifier_bench"), _table(spark, folder, "chunks"))
+
+
+@query
+def p3_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """chunks.text in one form."""
+    return visible.normalised(_table(spark, folder, "chunks"), "chunk_id", "text")
+
+
+@query
+def p3_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """verifier_bench.quote in one form."""
+    return visible.normalised(_table(spark, folder, "verifier_bench"), "vid", "quote")
+
+
+def _least_span(spark: SparkSession, folder: str) -> int:
+    row = _table(spark, folder, "size_limits").where("limit_name = 'shared_span'").select("max_size").first()
+    return row[0] if row else 240
+
+
+def _span_records(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.records_of(_table(spark, folder, "chunks"), _table(spark, folder, "verifier_bench"))
+
+
+@query
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that share a long span with a record of another document."""
+    return spans.sharing_records(_span_records(spark, folder), _least_span(spark, folder))
+
+
+@query
+def p4_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each record, how much is shared."""
+    return spans.coverage(_span_records(spark, folder), _least_span(spark, folder))
+
+
+@query
+def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of records linked by shared spans."""
+    return spans.clusters(_span_records(spark, folder), _least_span(spark, folder))
