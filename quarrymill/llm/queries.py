@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentences, spans, visible
+from . import pages, sentences, spans, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -77,3 +77,16 @@ def p4_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def p4_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of records linked by shared spans."""
     return spans.clusters(_span_records(spark, folder), _least_span(spark, folder))
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of keywords, links or tags instead of sentences."""
+    return pages.spam_pages(_table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+@query
+def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every page by what kind of line they stand in."""
+    docs = _table(spark, folder, "documents")
+    return pages.scored(docs, pages.fit(docs))
