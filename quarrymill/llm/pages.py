@@ -33,24 +33,30 @@ SAMPLE_PAGES = 3000
 #: Share of non-prose words from which a page is flagged.
 MOST = 0.5
 
-# Function words by language, most of them shared by no keyword list.
+# Function words by language, with the abbreviations that sentences refer by.
 FUNCTION_WORDS = """
-the of and to in is that with for was on at by it its which once before after so if no not when from as than this
-der die das und den von zu mit ein eine einen im ist nicht auf für bei dem des noch weder wer hat wird
-el la los las en que por según para una un tras desde ninguna cuya cuyo recibe y
-le les des du et est une dans pour avec qui par sur après avant la encore jamais cite
-и в не на что если для из к до с под после модуля показано
-ο η το του της και σε με από για στο στη μετά ένα γιατί λείπει
-في من إلى ما هل على أن عند بعد إذا كان ثم التي مشكلة رسالة
-के का की में है से को पर ने और भी लिए कर रह या जो
+the of and to in is that with was on at it its which once before so if not when from as than this neither nor
+does asked why whose each every any under only
+der die das und den von zu mit ein eine einen im ist nicht auf für bei dem des noch weder wer hat wird so man sich sollte
+vgl abschn nr abb tab usw ca bis laut über am erst oder
+el la los las en que por según para una un tras desde ninguna cuya cuyo recibe y se al del cuando con
+aprox pág núm fig art
+le les des du et est une dans pour avec qui par sur après avant la encore jamais cite il de
+env ex etc
+и в не на что если для из к до с под после модуля показано как ли или при
+см п т е д г рис табл прибл
+ο η το του της και σε με από για στο στη στην μετά ένα γιατί λείπει μη είναι την ότι
+βλ σελ π χ
+في من إلى ما هل على أن عند بعد إذا كان ثم التي مشكلة رسالة زال انظر وإلا نوع أجل
+के का की में है से को पर ने और भी लिए कर रह या जो क्या अब तक ही गया गई होता हो जाता
 """.split()
 CJK_FUNCTION = "[ぁ-ゖ]|[的了会与和从到后仍被将请就于为]"
-THAI_FUNCTION = "ของ|ที่|ให้|และ|ไปยัง|โดย|ไม่|จาก|ใน|เป็น|ได้|แล้ว|ก่อน|ทำ|ควร|สำหรับ|เมื่อ"
-
+THAI_FUNCTION = "ของ|ที่|ให้|และ|ไปยัง|โดย|ไม่|จาก|เป็น|ได้|แล้ว|ก่อน|ทำ|ควร|สำหรับ|เมื่อ|ใช้|แก้|ส่ง|อ่าน|หลัง|เหลือ"
 
 _LINE_ENDS = re.compile(r"[\n\r]+")
 _HEADING = re.compile(r"\s*#{1,6}\s")
-_WORD = re.compile(r"[^\W\d_]+")
+# letters with the vowel signs and accents that stand on them
+_WORD = re.compile("(?:[^\\W\\d_]|[\u0300-\u036f\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e4e])+")
 _CJK = re.compile(r"[ぁ-ヿ一-鿿]")
 _CJK_FUNCTION = re.compile(CJK_FUNCTION)
 _THAI = re.compile(r"[ก-๎]")
