@@ -41,7 +41,7 @@ der die das und den von zu mit ein eine einen im ist nicht auf für bei dem des
 vgl abschn nr abb tab usw ca bis laut über am erst oder
 el la los las en que por según para una un tras desde ninguna cuya cuyo recibe y se al del cuando con
 aprox pág núm fig art
-le les des du et est une dans pour avec qui par sur après avant la encore jamais cite il de
+le les des du et est une dans pour avec qui par sur après avant la encore jamais cite il
 env ex etc
 и в не на что если для из к до с под после модуля показано как ли или при
 см п т е д г рис табл прибл

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pages, sentences, spans, visible
+from . import overlap, pages, sentences, spans, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +90,16 @@ def p9_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every page by what kind of line they stand in."""
     docs = _table(spark, folder, "documents")
     return pages.scored(docs, pages.fit(docs))
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Holdout questions that also stand in gold."""
+    pairs = overlap.cross_split_pairs(_table(spark, folder, "holdout"), _table(spark, folder, "gold"))
+    return pairs.select("qid_a", "qid_b")
+
+
+@query
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps with gold by split and source."""
+    return overlap.report(_table(spark, folder, "holdout"), _table(spark, folder, "gold"))
