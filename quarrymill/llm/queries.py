@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlap, pages, sentences, spans, visible
+from . import overlap, pages, pairs, sentences, spans, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,15 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlaps with gold by split and source."""
     return overlap.report(_table(spark, folder, "holdout"), _table(spark, folder, "gold"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective responses and what is wrong with each."""
+    return pairs.defective_pairs(_table(spark, folder, "human_grades")).select("grade_id", "defect").distinct()
+
+
+@query
+def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of the clause tags in each defective response."""
+    return pairs.defective_pairs(_table(spark, folder, "human_grades"))
