@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import overlap, pages, pairs, sentences, spans, visible
+from . import mixing, overlap, packing, pages, pairs, pieces, sentences, spans, visible
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -115,3 +115,59 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Shares of the clause tags in each defective response."""
     return pairs.defective_pairs(_table(spark, folder, "human_grades"))
+
+
+def _piece_limit(spark: SparkSession, folder: str) -> tuple[int, int]:
+    row = _table(spark, folder, "size_limits").where("limit_name = 'piece'").select("max_size", "overlap").first()
+    return (row[0], row[1]) if row else (1200, 120)
+
+
+@query
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks over the limit, from their pieces."""
+    limit, overlap = _piece_limit(spark, folder)
+    return pieces.oversized_pieces(_table(spark, folder, "chunks"), limit, overlap).select("chunk_id").distinct()
+
+
+@query
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of the oversized chunks, with their units in the document."""
+    chunks = _table(spark, folder, "chunks")
+    limit, overlap = _piece_limit(spark, folder)
+    out = pieces.with_document_units(pieces.oversized_pieces(chunks, limit, overlap), sentences.sent_ranges(chunks))
+    return out.select("*", out.sent_range[0].alias("unit_first"), out.sent_range[1].alias("unit_last")).drop("sent_range")
+
+
+SQL["p5_found"] = """
+SELECT DISTINCT chunk_id FROM chunks
+WHERE length(text) > (SELECT max_size FROM size_limits WHERE limit_name = 'piece')
+"""
+
+
+def _container_limits(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "size_limits").where("limit_name like 'container%'")
+
+
+@query
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in containers of each capacity."""
+    return packing.containers(_table(spark, folder, "documents"), _container_limits(spark, folder))
+
+
+@query
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Unused room by capacity."""
+    return packing.report(p7_containers(spark, folder))
+
+
+@query
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"))
+
+
+@query
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached by the mix."""
+    documents, targets = _table(spark, folder, "documents"), _table(spark, folder, "mix_targets")
+    return mixing.report(documents, targets, mixing.mix(documents, targets))
