@@ -47,26 +47,32 @@ def grounded(quote: Column, passages: Column) -> Column:
     return F.when(F.coalesce(quote, F.lit("")) == "", True).otherwise(F.contains(joined, F.lower(normalise_span(quote))))
 
 
-def premise(quote: Column, passages: Column, pad: int) -> Column:
-    """What a claim is held against: a window around its quote under the document's
-    title, or all cited passages if there is no quote or no passage holds it."""
-    joint = F.array_join(F.transform(passages, lambda c: c["text"]), "\n\n")
-    one_document = F.size(F.array_distinct(F.transform(passages, lambda c: c["doc_id"]))) == 1
-    whole = F.when(one_document, with_title(F.element_at(passages, -1)["doc_title"], joint)).otherwise(joint)
-    needle = F.lower(normalise_span(quote))
-    texts = F.transform(passages, lambda c: F.struct(normalise_span(c["text"]).alias("text"), c["doc_title"].alias("doc_title")))
-    holder = F.get(F.filter(texts, lambda c: F.contains(F.lower(c["text"]), needle)), F.lit(0))
-    at = F.instr(F.lower(holder["text"]), needle) - 1
-    start = F.greatest(F.lit(0), at - pad)
-    end = F.least(F.length(holder["text"]), at + F.length(needle) + pad)
-    window = with_title(holder["doc_title"], strip(holder["text"].substr(start + 1, end - start)))
-    return F.when(F.coalesce(quote, F.lit("")) == "", whole).when(holder.isNotNull(), window).otherwise(joint)
-
-
-def support(premise_: Column, hypothesis: Column, scorer: Scorer = word_overlap) -> Column:
-    """Score of a hypothesis; 0 for a blank premise or hypothesis."""
-    blank = (strip(premise_) == "") | (strip(F.coalesce(hypothesis, F.lit(""))) == "")
-    return F.when(blank, F.lit(0.0)).otherwise(F.round(scorer(premise_, hypothesis).cast("double"), 9))
+def with_premise(held: DataFrame, pad: int) -> DataFrame:
+    """held (quote, cited) with ``premise``, what a claim is held against: a window
+    around its quote under the document's title, or all cited passages if there is
+    no quote or no passage holds it."""
+    texts = F.transform("cited", lambda c: F.struct(normalise_span(c["text"]).alias("text"), c["doc_title"].alias("doc_title")))
+    ready = held.withColumn("__needle", F.lower(normalise_span(F.col("quote")))).withColumn("__texts", texts)
+    holder = F.get(F.filter("__texts", lambda c: F.contains(F.lower(c["text"]), F.col("__needle"))), F.lit(0))
+    found = ready.withColumn("__holder", F.when(F.coalesce("quote", F.lit("")) != "", holder))
+    at = F.instr(F.lower(F.col("__holder.text")), F.col("__needle")) - 1
+    placed = found.withColumn("__at", at)
+    start = F.greatest(F.lit(0), F.col("__at") - pad)
+    end = F.least(F.length("__holder.text"), F.col("__at") + F.length("__needle") + pad)
+    window = with_title(F.col("__holder.doc_title"), strip(F.col("__holder.text").substr(start + 1, end - start)))
+    joint = F.array_join(F.transform("cited", lambda c: c["text"]), "\n\n")
+    one_document = F.size(F.array_distinct(F.transform("cited", lambda c: c["doc_id"]))) == 1
+    whole = F.when(one_document, with_title(F.element_at("cited", -1)["doc_title"], joint)).otherwise(joint)
+    chosen = F.when(F.coalesce("quote", F.lit("")) == "", whole).when(F.col("__holder").isNotNull(), window).otherwise(joint)
+    return placed.withColumn("premise", chosen).drop("__needle", "__texts", "__holder", "__at")
+
+
+def with_score(held: DataFrame, pad: int, scorer: Scorer = word_overlap) -> DataFrame:
+    """held (claim, quote, cited) with ``score``; 0 without passages and for a blank
+    premise or claim."""
+    ready = with_premise(held, pad)
+    blank = (F.size("cited") == 0) | (strip(F.col("premise")) == "") | (strip(F.coalesce("claim", F.lit(""))) == "")
+    return ready.withColumn("score", F.when(blank, F.lit(0.0)).otherwise(F.round(scorer(F.col("premise"), F.col("claim")).cast("double"), 9))).drop("premise")
 
 
 def verify(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, pad: int = 160, enabled: bool = True, scorer: Scorer = word_overlap) -> DataFrame:
@@ -78,17 +84,14 @@ def verify(claims: DataFrame, passages: DataFrame, threshold: float = 0.5, pad:
     if not enabled:
         return claims.select("*", F.lit(1.0).alias("score"), F.lit(True).alias("supported"), F.col("citations").alias("precise_citations"))
     held = cited(claims, passages)
-    full = held.withColumn("score", F.when(F.size("cited") == 0, F.lit(0.0)).otherwise(support(premise(F.col("quote"), F.col("cited"), pad), F.col("claim"), scorer)))
-    judged = full.withColumn("supported", F.col("score") >= threshold)
-
-    def needed(cid: Column) -> Column:
-        rest = F.filter("cited", lambda c: c["chunk_id"] != cid)
-        without = F.when(F.size(rest) == 0, F.lit(0.0)).otherwise(support(premise(F.col("quote"), rest, pad), F.col("claim"), scorer))
-        return without < threshold
-
+    judged = with_score(held, pad, scorer).withColumn("supported", F.col("score") >= threshold)
+    # only supported claims can have needed citations; each citation is left out once
+    each = judged.where("supported").select("claim_id", "claim", "quote", "cited", F.posexplode("citations").alias("pos", "cid"))
+    less = each.withColumn("cited", F.filter("cited", lambda c: c["chunk_id"] != F.col("cid")))
+    needed = with_score(less, pad, scorer).where(F.col("score") < threshold)
+    lists = needed.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("pos", "cid"))).alias("n")).select("claim_id", F.col("n.cid").alias("precise_citations"))
     none = F.expr("cast(array() as array<string>)")
-    precise = F.when(F.col("supported"), F.filter("citations", needed)).otherwise(none)
-    return judged.withColumn("precise_citations", precise).drop("cited")
+    return judged.drop("cited").join(lists, "claim_id", "left").withColumn("precise_citations", F.coalesce("precise_citations", none))
 
 
 def gate_a(questions: DataFrame, reranked: DataFrame, threshold: float, enabled: bool = True) -> DataFrame:

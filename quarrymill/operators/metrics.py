@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import token_recall
+from .lineage import checkpointed
 
 #: Ranges of a score in [0, 1] for running totals in two steps.
 RANGES = 4096
@@ -75,7 +76,7 @@ def score_totals(scored: DataFrame) -> DataFrame:
     are taken over ranges of the score first and then within each range, so that
     no task sorts all scores."""
     per = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    per = per.withColumn("range", F.floor(F.col("score") * RANGES))
+    per = checkpointed(per.withColumn("range", F.floor(F.col("score") * RANGES)))
     ranges = per.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     every = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
     before = ranges.select("range", F.coalesce(F.sum("p").over(every), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(every), F.lit(0)).alias("n0"))
@@ -97,7 +98,7 @@ def sweep(scored: DataFrame) -> DataFrame:
     """(tau, false_answer_rate, over_refusal_rate, accuracy) of every threshold that
     changes anything: 0 and just above each score.  Rows answer if their score
     reaches tau; label says whether they should."""
-    t = score_totals(scored)
+    t = checkpointed(score_totals(scored))
     sums = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     above = t.select(F.round(F.col("score") + 1e-6, 6).alias("tau"), (F.col("pos_below") + F.col("pos")).alias("fr"), (F.col("neg_below") + F.col("neg")).alias("tr"))
     zero = sums.where("p is not null").select(F.lit(0.0).alias("tau"), F.lit(0).cast("bigint").alias("fr"), F.lit(0).cast("bigint").alias("tr"))
@@ -121,11 +122,11 @@ def best_threshold(rates: DataFrame) -> DataFrame:
 
 def grid(scored: DataFrame, steps: int = 200) -> DataFrame:
     """The rates at tau = 0, 1/steps ... 1."""
-    some = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull())
+    some = checkpointed(scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).groupBy("score", "label").agg(F.count("*").alias("c")))
     # the first k whose tau = k / steps lies above the score
     near = F.round(F.col("score") * steps).cast("int")
     first = F.when(near / F.lit(float(steps)) <= F.col("score"), near + 1).otherwise(near)
-    per = some.groupBy(first.alias("k")).agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    per = some.groupBy(first.alias("k")).agg(F.sum(F.when(F.col("label"), F.col("c")).otherwise(0)).alias("pos"), F.sum(F.when(~F.col("label"), F.col("c")).otherwise(0)).alias("neg"))
     taus = scored.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("k"))
     upto = Window.partitionBy(F.lit(1)).orderBy("k")  # steps + 1 rows
     sums = per.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("p"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n"))

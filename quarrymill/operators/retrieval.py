@@ -59,9 +59,13 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024,
 
 
 def postings(passages: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, dl): the inverted index, dl the passage's length in terms."""
-    terms = search_terms(F.col("text"))
-    return passages.select("chunk_id", F.size(terms).alias("dl"), F.explode(terms).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    """(chunk_id, term, tf): the inverted index."""
+    return passages.select("chunk_id", F.explode(search_terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+
+
+def lengths(passages: DataFrame) -> DataFrame:
+    """(chunk_id, dl): terms of each passage."""
+    return passages.select("chunk_id", F.size(search_terms(F.col("text"))).alias("dl"))
 
 
 def term_weights(index: DataFrame, passages: DataFrame) -> DataFrame:
@@ -82,9 +86,9 @@ def bm25_top(questions: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     passages that share a word are filled up with passages of score 0."""
     index = postings(passages)
     asked = questions.select("qid", F.explode(search_terms(F.col("question"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    mean = passages.agg(F.avg(F.size(search_terms(F.col("text")))).alias("avgdl"))
+    mean = lengths(passages).agg(F.avg("dl").alias("avgdl"))
     weighted = asked.join(term_weights(index, passages), "term")
-    hits = weighted.join(index, "term").join(F.broadcast(mean), how="cross")  # one row
+    hits = weighted.join(index, "term").join(lengths(passages), "chunk_id").join(F.broadcast(mean), how="cross")  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("qid", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     best = top(scored, k).drop("rank")

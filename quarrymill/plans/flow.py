@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..operators import answers, metrics, retrieval
+from ..operators.lineage import checkpointed
 
 #: Settings of the ablations, each adding a stage to the one before.
 VARIANTS: dict[str, dict[str, bool]] = {
@@ -42,7 +43,7 @@ class Outcome:
 def rank(questions: DataFrame, passages: DataFrame, config: Config, dense: DataFrame | None = None) -> Rankings:
     """Lexical candidates, fused with a dense ranking (qid, chunk_id, rank) if one
     is given; switched off hybrid search ranks by the dense ranking alone."""
-    lexical = retrieval.bm25_top(questions, passages, config.retrieval.bm25_k)
+    lexical = checkpointed(retrieval.bm25_top(questions, passages, config.retrieval.bm25_k))
     none = lexical.select("qid", "chunk_id", "rank").where("false")
     use_dense = none if dense is None else dense
     use_lexical = lexical if config.retrieval.hybrid or dense is None else none
@@ -52,7 +53,7 @@ def rank(questions: DataFrame, passages: DataFrame, config: Config, dense: DataF
 def answer(questions: DataFrame, passages: DataFrame, rankings: Rankings, config: Config) -> Outcome:
     """questions: (qid, question, is_answerable, gold_answer, gold_chunk_ids, bucket)."""
     c = config
-    reranked = retrieval.rerank(rankings.fused, questions, passages, c.retrieval.final_k, enabled=c.rerank.enabled)
+    reranked = checkpointed(retrieval.rerank(rankings.fused, questions, passages, c.retrieval.final_k, enabled=c.rerank.enabled))
     first = answers.gate_a(questions, reranked, c.abstain.min_rerank_score, c.abstain.gate_a)
     through = questions.join(first.where("not abstained").select("qid"), "qid", "left_semi")
     made = answers.extractive(through, reranked, passages)
@@ -82,7 +83,7 @@ def ladder(questions: DataFrame, passages: DataFrame, config: Config, dense: Dat
     rankings = rank(questions, passages, config, dense)
     out = None
     for name, settings in VARIANTS.items():
-        records = answer(questions, passages, rankings, config.with_overrides(settings)).records.withColumn("variant", F.lit(name))
+        records = checkpointed(answer(questions, passages, rankings, config.with_overrides(settings)).records).withColumn("variant", F.lit(name))
         out = records if out is None else out.unionByName(records)
     return out
 

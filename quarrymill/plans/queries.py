@@ -118,10 +118,10 @@ def doc_titles(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", fn.title(F.col("text"), F.coalesce("url", F.lit(""))).alias("title"))
 
 
-@query(f"SELECT vid, added_at, {span_sql('quote')} AS span FROM verifier_bench WHERE quote IS NOT NULL")
+@query(f"SELECT vid, {span_sql('quote')} AS span FROM verifier_bench WHERE quote IS NOT NULL")
 def span_normalise(spark: SparkSession, folder: str) -> DataFrame:
     """Quotes without emphasis and superfluous white space."""
-    return table(spark, folder, "verifier_bench").where("quote is not null").select("vid", "added_at", fn.normalise_span(F.col("quote")).alias("span"))
+    return table(spark, folder, "verifier_bench").where("quote is not null").select("vid", fn.normalise_span(F.col("quote")).alias("span"))
 
 
 @query(f"SELECT doc_id, {estimate_sql('text')} AS tokens FROM documents WHERE text IS NOT NULL")
@@ -165,7 +165,7 @@ windows AS (
   SELECT doc_id, arg_max(first, i), max(i) FROM packs GROUP BY doc_id
 ),
 made AS (
-  SELECT w.doc_id, w.doc_id || '::c' || lpad(CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.last) - 1 AS VARCHAR), greatest(2, length(CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.last) - 1 AS VARCHAR))), '0') AS chunk_id,
+  SELECT w.doc_id, w.doc_id || '::c' || lpad(CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.last) - 1 AS VARCHAR), CAST(greatest(2, length(CAST(row_number() OVER (PARTITION BY w.doc_id ORDER BY w.last) - 1 AS VARCHAR))) AS INTEGER), '0') AS chunk_id,
     a."start" AS char_start, z."end" AS char_end, w.first AS sent_first, w.last AS sent_last
   FROM windows w JOIN units a ON a.doc_id = w.doc_id AND a.unit = w.first JOIN units z ON z.doc_id = w.doc_id AND z.unit = w.last
 )"""
@@ -344,7 +344,10 @@ def closest_passages(spark: SparkSession, folder: str) -> DataFrame:
     return answers.closest_passages(r, p)
 
 
-@query(f"WITH p AS MATERIALIZED ({P}), c AS ({C}) SELECT claim_id, array_to_string(list_filter(citations, lambda x: x IN (SELECT chunk_id FROM p)), ' ') AS allowed, len(citations) AS cited FROM c".replace("lambda x: x IN (SELECT chunk_id FROM p)", "lambda x: list_contains(known, x)").replace("FROM c", "FROM (SELECT c.*, (SELECT coalesce(list(chunk_id), []) FROM p WHERE list_contains(c.citations, chunk_id)) AS known FROM c)"))
+@query(f"""WITH p AS MATERIALIZED ({P}), c AS MATERIALIZED ({C}),
+  each AS (SELECT claim_id, unnest(citations) AS chunk_id, generate_subscripts(citations, 1) AS pos FROM c),
+  known AS (SELECT claim_id, string_agg(chunk_id, ' ' ORDER BY pos) AS allowed FROM each JOIN p USING (chunk_id) GROUP BY claim_id)
+  SELECT claim_id, coalesce(allowed, '') AS allowed, len(citations) AS cited FROM c LEFT JOIN known USING (claim_id)""")
 def citation_allowlist(spark: SparkSession, folder: str) -> DataFrame:
     """Citations of chunks that exist, in order."""
     held = answers.cited(claims(spark, folder), passages(spark, folder))
@@ -395,7 +398,7 @@ def quote_grounding(spark: SparkSession, folder: str) -> DataFrame:
 def premise_window(spark: SparkSession, folder: str) -> DataFrame:
     """What each claim is held against."""
     held = answers.cited(claims(spark, folder), passages(spark, folder))
-    return held.select("claim_id", answers.premise(F.col("quote"), F.col("cited"), _V.premise_window_chars).alias("premise"))
+    return answers.with_premise(held, _V.premise_window_chars).select("claim_id", "premise")
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
@@ -577,7 +580,7 @@ def _ladder(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {RECORDS},
 pr AS (SELECT variant, sum(len(list_intersect(list_distinct(said), list_distinct(gold)))) AS h, sum(len(list_distinct(said))) AS s, sum(len(list_distinct(gold))) AS g FROM recs WHERE is_answerable GROUP BY variant),
 pf AS (SELECT variant, coalesce(h::DOUBLE / nullif(s, 0), 0) AS p, coalesce(h::DOUBLE / nullif(g, 0), 0) AS r FROM pr),
-rt AS (SELECT variant, round(avg((at IS NOT NULL)::INT), 4) AS recall_at_k, round(avg(coalesce(1.0 / at, 0)), 4) AS mrr FROM (SELECT variant, list_min(list_filter(list_transform(gold, lambda g: list_position(context, g)), lambda x: x > 0)) AS at FROM recs WHERE is_answerable AND len(gold) > 0) GROUP BY variant),
+rt AS (SELECT variant, round(avg((hit IS NOT NULL)::INT), 4) AS recall_at_k, round(avg(coalesce(1.0 / hit, 0)), 4) AS mrr FROM (SELECT variant, list_min(list_filter(list_transform(gold, lambda g: list_position(context, g)), lambda x: x > 0)) AS hit FROM recs WHERE is_answerable AND len(gold) > 0) GROUP BY variant),
 ar AS (SELECT variant, round(avg({recall_sql('gold_answer', 'answer')}), 4) AS mean_token_recall FROM recs WHERE is_answerable AND coalesce(gold_answer, '') <> '' GROUP BY variant),
 cm AS (SELECT variant, count(*) FILTER (WHERE is_answerable AND NOT abstained) AS ta, count(*) FILTER (WHERE NOT is_answerable AND NOT abstained) AS fa, count(*) FILTER (WHERE is_answerable AND abstained) AS fr, count(*) FILTER (WHERE NOT is_answerable AND abstained) AS tr FROM recs GROUP BY variant)
 SELECT cm.*, round((ta + tr)::DOUBLE / (ta + fa + fr + tr), 4) AS accuracy, round(coalesce(fa::DOUBLE / nullif(fa + tr, 0), 0), 4) AS false_answer_rate, round(coalesce(fr::DOUBLE / nullif(fr + ta, 0), 0), 4) AS over_refusal_rate,
