@@ -37,6 +37,8 @@ SAMPLE_ROWS = 4000
 BUCKETS = 1 << 20
 #: Buckets of the words by language.
 LANG_BUCKETS = 1 << 16
+#: Words of a language, for smoothing.
+VOCABULARY = 20_000
 #: Hashed word features.
 WORD_FEATURES = 256
 
@@ -135,10 +137,11 @@ class Statistics:
     def word_language(self, text: str) -> np.ndarray:
         """Log odds of the Latin-script languages from the words of a text."""
         odds = np.zeros(len(_LANGS))
-        seen = self.lang.sum(1) + 1.0
+        # smoothed over a vocabulary, so that a language without rows is no better than one with many
+        seen = self.lang.sum(1) + 0.5 * VOCABULARY
         for w in set(_LETTERS.findall(text.lower())):
             if len(w) > 1:
-                p = (self.lang[:, bucket(w, LANG_BUCKETS)] + 0.05) / seen
+                p = (self.lang[:, bucket(w, LANG_BUCKETS)] + 0.5) / seen
                 odds += np.clip(np.log(p / p.mean()), -3, 3)
         return odds
 
@@ -282,7 +285,8 @@ def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[
             votes, odds = latin_votes(prose), stats.word_language(prose)
             mix = votes * 1.5 + odds
             margin = float(mix.max() - mix[q_lang])
-            other_latin = margin > 3 and int(mix.argmax()) != q_lang
+            best = int(mix.argmax())
+            other_latin = margin > 3 and votes[best] > votes[q_lang]
         elif script == "latin" and q_script not in (None, "latin"):
             # a name, a version or a bare term is no other language: it takes function words
             other_script = latin_votes(prose).max() >= 2
