@@ -28,7 +28,7 @@ PROSE, LINKS, TAGS, MENU, DATA = range(5)
 STATES = 5
 KINDS, FUNCS, SEGS, REPS = 6, 5, 4, 3
 K_OTHER, K_LINK, K_HASH, K_PRICE, K_DATA, K_PIPE = range(KINDS)
-#: Pages the model is fitted on (whole corpus if it has fewer), by hash order.
+#: Pages the model is fitted on, about (whole corpus if it has fewer), drawn by hash.
 SAMPLE_PAGES = 3000
 #: Share of non-prose words from which a page is flagged.
 MOST = 0.5
@@ -190,10 +190,12 @@ def decode(model: Model, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, rounds: int = 4) -> Model:
-    """Viterbi training on the sample_pages pages that come first by a hash of
-    their text, repeated texts among them like others.  The driver gets the
-    packed symbols of those pages only."""
-    shown = pages.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(sample_pages)
+    """Viterbi training on about sample_pages pages, at most twice as many, drawn
+    by a hash of page and text.  The driver gets the packed symbols of those only."""
+    some = pages.where(F.col("text").isNotNull())
+    chance = min(1.0, sample_pages / max(1, pages.count()))
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**40)) < F.lit(int(chance * 2**40))
+    shown = some.where(drawn).limit(2 * sample_pages)
     schema = T.StructType([T.StructField("symbols", T.ArrayType(T.IntegerType())), T.StructField("words", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
