@@ -109,7 +109,7 @@ def _passages(spark):
 def test_grounding_and_premise(spark):
     claims = spark.createDataFrame(
         [
-            ("1", "port 8443 open", "PORT is  8443.", ["A::c00"]), ("2", "x", "open. Second part", ["A::c00", "A::c01"]), ("3", "x", "invented", ["A::c00"]),
+            ("1", "the port is 8443.", "PORT is  8443.", ["A::c00"]), ("2", "x", "open. Second part", ["A::c00", "A::c01"]), ("3", "x", "invented", ["A::c00"]),
             ("4", "second part", None, ["A::c00", "A::c01"]), ("5", "x", "y", ["none"]), ("6", "text", "", ["A::c00", "B::c00"]), ("7", None, None, None),
         ],
         "claim_id string, claim string, quote string, citations array<string>",
