@@ -130,17 +130,21 @@ def _epoch(epoch: int):  # noqa: ANN202
     return run
 
 
-def _pack(items: DataFrame, islands: int, epochs: int) -> DataFrame:
+def _pack(items: DataFrame, islands: int, epochs: int, groups: int) -> DataFrame:
     """(limit_name, capacity, shard, bin, doc_id, part, tokens): each shard's best packing.
 
-    items: limit_name, capacity, shard, doc_id, part, tokens; shards are of bounded size."""
+    items: limit_name, capacity, shard, doc_id, part, tokens; shards are of bounded
+    size.  The rows are few and small but their work is long, so they are spread
+    over a set number of partitions, which is not cut down by their size in bytes."""
+    keys = ["limit_name", "capacity", "shard", "island"]
+    spread = max(1, min(groups * islands, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     state = items.groupBy("limit_name", "capacity", "shard").agg(F.array_sort(F.collect_list(F.struct("tokens", "doc_id", "part"))).alias("i"))
     state = state.select(
         "limit_name", "capacity", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
         F.col("i.doc_id").alias("ids"), F.col("i.part").alias("parts"), F.col("i.tokens").alias("sizes"), F.expr("cast(array() as array<array<array<int>>>)").alias("packings"),
     )
     for epoch in range(epochs):
-        evolved = checkpointed(state.groupBy("limit_name", "capacity", "shard", "island").applyInPandas(_epoch(epoch), _STATE))
+        evolved = checkpointed(state.repartition(spread, *keys).groupBy(*keys).applyInPandas(_epoch(epoch), _STATE))
         # the best of each island also go to the next one
         moved = evolved.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).withColumn("packings", F.slice("packings", 1, ELITE))
         state = evolved.unionByName(moved) if epoch < epochs - 1 and islands > 1 else evolved
@@ -173,7 +177,7 @@ def containers(documents: DataFrame, limits: DataFrame, shard_items: int = SHARD
     done = [full]
     for r in range(pool_rounds + 1):
         placed = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(shards)))
-        packed = checkpointed(_pack(placed, islands, epochs))
+        packed = checkpointed(_pack(placed, islands, epochs, 2 * shards))
         filled = F.sum("tokens").over(_window()) / F.col("capacity")
         packed = packed.withColumn("filled", filled)
         last = r == pool_rounds
