@@ -181,7 +181,8 @@ def shared_paragraphs(records: DataFrame, least: int) -> DataFrame:
     colliding = signed.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
     hit = signed.join(colliding, "sig", "left_semi").groupBy("field", "rec_id", "doc").agg(F.collect_set("place").alias("places"))
     candidates = records.join(hit, ["field", "rec_id", "doc"])
-    windows = _paragraphs(candidates, least)
+    # read twice below; written once, so that the candidates' texts are joined once
+    windows = cc.checkpointed(_paragraphs(candidates, least))
     agreeing = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h1", "h2")
     return windows.join(agreeing, ["h1", "h2"], "left_semi")
 
