@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import glyphs
+from .components import checkpointed
 
 #: Share of an evaluation question that its passages must cover in a training question.
 COVERED = 0.4
@@ -234,7 +235,7 @@ def cross_split_pairs(holdout: DataFrame, gold: DataFrame, covered: float = COVE
     Rows with a null qid, a null question or one without words give nothing;
     repeated rows count once; of several wordings under one qid the best covered
     counts; very long questions are compared whole."""
-    e, t = _normal_form(holdout), _normal_form(gold)
+    e, t = checkpointed(_normal_form(holdout)), checkpointed(_normal_form(gold))
     found = matched_texts(e, t, covered)
     pairs = found.join(e.select(F.col("qid").alias("h"), F.col("norm").alias("norm_eval")), "norm_eval").join(t.select(F.col("qid").alias("g"), F.col("norm").alias("norm_train")), "norm_train")
     ordered = pairs.where("h <> g").select(F.least("h", "g").alias("qid_a"), F.greatest("h", "g").alias("qid_b"), "covered")
@@ -244,7 +245,7 @@ def cross_split_pairs(holdout: DataFrame, gold: DataFrame, covered: float = COVE
 def report(holdout: DataFrame, gold: DataFrame, covered: float = COVERED) -> DataFrame:
     """(split, source, n_questions, n_overlapping, n_pairs) of the evaluation splits;
     null splits and sources count as "unknown", sources trimmed and lower-cased."""
-    e, t = _normal_form(holdout), _normal_form(gold)
+    e, t = checkpointed(_normal_form(holdout)), checkpointed(_normal_form(gold))
     found = matched_texts(e, t, covered)
     in_gold = t.groupBy(F.col("norm").alias("norm_train")).agg(F.countDistinct("qid").alias("n"))
     # gold questions by evaluation text, then by evaluation question
