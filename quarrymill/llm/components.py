@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a written copy in the shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset,
-    as in local tests, a temporary one is made."""
-    spark = SparkSession.getActiveSession()
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "components"]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
