@@ -39,6 +39,10 @@ BUCKETS = 1 << 20
 LANG_BUCKETS = 1 << 16
 #: Words of a language, for smoothing.
 VOCABULARY = 20_000
+#: Occurrences that the share of endings of a word or pair is smoothed with.
+PRIOR = 1.0
+#: Shares of endings under which a text surely and possibly breaks off, and from which it does not; some 10 % of all words end a sentence.
+RARELY, SELDOM, OFTEN = 0.02, 0.1, 0.3
 #: Hashed word features.
 WORD_FEATURES = 256
 
@@ -151,18 +155,24 @@ class Statistics:
         if not words:
             return 0.0
         last, pair = bucket("1 " + words[-1]), bucket("2 " + " ".join(words[-2:]))
-        if any(c.isdigit() for c in words[-1]):  # a number may end a sentence if one of its shape does
-            return 0.1 if self.end[last] else 0.9 if self.go[last] <= 1 else 0.5
-        if self.end[pair] >= 2:
-            return 0.0
-        if words[-1] in GOES_ON:
-            return 1.0
-        if int(self.end[last]) + int(self.go[last]) <= 1:  # nowhere else: cut inside a word
-            return 1.0
-        if self.go[pair] >= 2:
-            return 1.0 if self.end[pair] == 0 else 0.3
-        share = self.end[last] / (int(self.end[last]) + int(self.go[last]))
-        return 0.9 if share < 0.02 else 0.5 if share < 0.2 else 0.1
+        return cut_off(words[-1], *(int(c[at]) for at in (last, pair) for c in (self.end, self.go)))
+
+
+def cut_off(word: str, end: int, go: int, end_pair: int, go_pair: int) -> float:
+    """How surely a text breaks off after a word that ends a sentence ``end`` times
+    and goes on ``go`` times, and so does its pair with the word before it.
+
+    Only smoothed shares decide, so that more text of the same kind makes no other
+    verdict: a few endings are held against how often the word goes on."""
+    share = end / (end + go + PRIOR)
+    if any(c.isdigit() for c in word):  # a number may end a sentence if those of its shape do
+        return 0.9 if share < RARELY else 0.5 if share < SELDOM else 0.1
+    pair = (end_pair + PRIOR * share) / (end_pair + go_pair + PRIOR)
+    if word in GOES_ON:
+        return 0.0 if pair >= 0.5 else 1.0
+    if pair < RARELY:  # also a word seen nowhere else: cut inside
+        return 1.0
+    return 0.5 if pair < SELDOM else 0.1 if pair < OFTEN else 0.0
 
 
 def _count_words(question: str | None, gold: str | None, answer: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

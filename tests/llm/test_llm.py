@@ -103,6 +103,22 @@ def test_defective_pairs(spark):
     assert pairs.defective_pairs(spark.createDataFrame([], QUESTIONS)).isEmpty()
 
 
+@pytest.mark.parametrize(
+    "word,end,go,end_pair,go_pair,cut",
+    [
+        ("record", 2, 900, 2, 300, True),  # two endings do not make a pair that goes on an ending
+        ("the", 2, 9000, 2, 300, True),
+        ("record", 400, 900, 40, 2, False),
+        ("999", 1, 900, 0, 0, True),  # nor does one make a number whole
+        ("9999", 300, 900, 0, 0, False),
+    ],
+)
+def test_more_text_of_the_same_kind_makes_no_other_verdict(word, end, go, end_pair, go_pair, cut):
+    for n in (1, 2, 10, 60, 1000):
+        got = pairs.cut_off(word, *(n * c for c in (end, go, end_pair, go_pair)))
+        assert got >= 0.9 if cut else got <= 0.1, (n, got)
+
+
 def test_field_marginals_against_all_taggings():
     rng = np.random.default_rng(0)
     scores, move = rng.normal(size=(1, 3, pairs.TAGS)), rng.normal(size=(pairs.TAGS, pairs.TAGS))
