@@ -6,8 +6,9 @@ conditional random field tags it as answer, refusal, echo, foreign or
 unfinished.  The share of the response that each tag covers decides the defect
 of the pair.
 
-Word statistics (how often words and pairs of words end a sentence, which words
-belong to which language) are counted over all rows into tables of fixed size.
+How often words and pairs of words end a sentence is counted over all rows, exactly,
+and joined to the responses that end without a mark.  Which words belong to which
+language is counted over all rows into a table of fixed size.
 The field is fitted on a bounded sample of rows whose clauses carry silver
 labels from plain rules.
 """
@@ -15,17 +16,19 @@ labels from plain rules.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sentences
+from .components import checkpointed
 from .overlap import normalise
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
@@ -33,14 +36,16 @@ TAGS = 5
 DEFECTS = {REFUSAL: "refusal", ECHO: "copy", FOREIGN: "other_language", UNFINISHED: "truncated"}
 #: Rows the field is fitted on, about, drawn by hash.
 SAMPLE_ROWS = 4000
-#: Buckets of the word statistics.
-BUCKETS = 1 << 20
+#: Distinct words and pairs that a task counts before it hands them on.
+HELD_WORDS = 200_000
+#: Parts of the responses that break off after the same words.
+SALTS = 16
 #: Buckets of the words by language.
 LANG_BUCKETS = 1 << 16
 #: Words of a language, for smoothing.
 VOCABULARY = 20_000
 #: Occurrences that the share of endings of a word or pair is smoothed with.
-PRIOR = 1.0
+PRIOR = 2.0
 #: Shares of endings under which a text surely and possibly breaks off, and from which it does not; some 10 % of all words end a sentence.
 RARELY, SELDOM, OFTEN = 0.02, 0.1, 0.3
 #: Hashed word features.
@@ -87,7 +92,7 @@ _SCRIPTS = (("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[一-鿿]")), ("
 _END = re.compile(r"[.!?…。！？؟।]+[\"'”“»」』)\]*_`]*\s*$")
 
 
-def bucket(text: str, buckets: int = BUCKETS) -> int:
+def bucket(text: str, buckets: int) -> int:
     return crc32(text.encode("utf-8", "surrogatepass")) % buckets
 
 
@@ -131,11 +136,8 @@ _LANGS = list(LATIN)
 
 @dataclass(frozen=True)
 class Statistics:
-    """Counts over all rows, by bucket: words and pairs of words that go on and
-    that end a sentence, and words by Latin-script language."""
+    """Counts over all rows: words by Latin-script language, in buckets."""
 
-    go: np.ndarray
-    end: np.ndarray
     lang: np.ndarray  # languages x buckets
 
     def word_language(self, text: str) -> np.ndarray:
@@ -149,24 +151,24 @@ class Statistics:
                 odds += np.clip(np.log(p / p.mean()), -3, 3)
         return odds
 
-    def cut_off(self, text: str) -> float:
-        """How surely a text without a closing mark breaks off: 1 surely, 0 surely not."""
-        words = shapes(text)
-        if not words:
-            return 0.0
-        last, pair = bucket("1 " + words[-1]), bucket("2 " + " ".join(words[-2:]))
-        return cut_off(words[-1], *(int(c[at]) for at in (last, pair) for c in (self.end, self.go)))
 
+#: Of the last word of a text and of its pair with the word before it: how often each
+#: ends a sentence and goes on, and how often longer words begin with the last word.
+Seen = tuple[int, int, int, int, int]
+SEEN = ["end", "go", "end_pair", "go_pair", "longer"]
 
-def cut_off(word: str, end: int, go: int, end_pair: int, go_pair: int) -> float:
-    """How surely a text breaks off after a word that ends a sentence ``end`` times
-    and goes on ``go`` times, and so does its pair with the word before it.
+
+def cut_off(word: str, end: int, go: int, end_pair: int, go_pair: int, longer: int) -> float:
+    """How surely a text without a closing mark breaks off after its last word: 1
+    surely, 0 surely not.
 
     Only smoothed shares decide, so that more text of the same kind makes no other
-    verdict: a few endings are held against how often the word goes on."""
-    share = end / (end + go + PRIOR)
+    verdict: endings are held against how often the word goes on and how often it is
+    the beginning of a longer word."""
     if any(c.isdigit() for c in word):  # a number may end a sentence if those of its shape do
+        share = end / (end + go + PRIOR)
         return 0.9 if share < RARELY else 0.5 if share < SELDOM else 0.1
+    share = end / (end + go + longer + PRIOR)
     pair = (end_pair + PRIOR * share) / (end_pair + go_pair + PRIOR)
     if word in GOES_ON:
         return 0.0 if pair >= 0.5 else 1.0
@@ -175,10 +177,19 @@ def cut_off(word: str, end: int, go: int, end_pair: int, go_pair: int) -> float:
     return 0.5 if pair < SELDOM else 0.1 if pair < OFTEN else 0.0
 
 
-def _count_words(question: str | None, gold: str | None, answer: str | None, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(kind, bucket) of one row: kind 0 goes on, 1 ends, 2 + n a word of language n.
-    A question and a reference answer are whole; spans are the answer's units."""
-    out: list[tuple[int, int]] = []
+def last_words(answer: str | None, spans: list[tuple[int, int]]) -> str:
+    """The last two words of an answer that ends without a mark, the first empty where
+    its last clause has one word; nothing for other answers."""
+    raw = answer[slice(*spans[-1])] if answer and spans else answer or ""
+    words = [] if _END.search(raw) else shapes(raw)
+    return " ".join(["", *words][-2:]) if words else ""
+
+
+def _count_words(question: str | None, gold: str | None, answer: str | None, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, str]], list[tuple[int, int]]]:
+    """Of one row: (0 goes on or 1 ends, word or pair of words), and (language, bucket
+    of a word).  A question and a reference answer are whole; spans are the answer's units."""
+    out: list[tuple[int, str]] = []
+    lang: list[tuple[int, int]] = []
     for text, whole in ((question, True), (gold, True), (answer, False)):
         if not text or not text.strip():
             continue
@@ -191,16 +202,16 @@ def _count_words(question: str | None, gold: str | None, answer: str | None, spa
                 if last and not closed:
                     break
                 kind = 1 if last else 0
-                out.append((kind, bucket("1 " + w)))
+                out.append((kind, w))
                 if n and not any(c.isdigit() for c in words[n - 1] + w):
-                    out.append((kind, bucket("2 " + words[n - 1] + " " + w)))
+                    out.append((kind, words[n - 1] + " " + w))
     if question and script_language(question) == "latin":
         votes = latin_votes(question)
         best = int(votes.argmax())
         if votes[best] >= 2 and (votes == votes[best]).sum() == 1:
             for text in (question, gold or ""):
-                out += [(2 + best, bucket(w, LANG_BUCKETS)) for w in set(_LETTERS.findall(text.lower())) if len(w) > 1]
-    return out
+                lang += [(best, bucket(w, LANG_BUCKETS)) for w in set(_LETTERS.findall(text.lower())) if len(w) > 1]
+    return out, lang
 
 
 def _units(texts: list[str | None]) -> list[list[tuple[int, int]]]:
@@ -211,30 +222,83 @@ def _units(texts: list[str | None]) -> list[list[tuple[int, int]]]:
     return [spans[b - n : b] for n, b in zip(counts.tolist(), ends, strict=True)]
 
 
-def count(pairs: DataFrame) -> Statistics:
-    """The statistics over all rows; the driver gets at most 2 x BUCKETS
-    + 4 x LANG_BUCKETS sums."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType())])
+def count(pairs: DataFrame) -> tuple[Statistics, DataFrame]:
+    """The statistics over all rows, and (key, end, go) of every word and pair of
+    words; the driver gets at most 4 x LANG_BUCKETS sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2 + len(_LANGS)) * BUCKETS, np.int64)
+        words: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        total = np.zeros(len(_LANGS) * LANG_BUCKETS, np.int64)
+
+        def counted() -> pa.RecordBatch:
+            keys = list(words[0].keys() | words[1].keys())
+            cols = [pa.array([0] * len(keys), pa.int32()), pa.array(keys, pa.string()), *(pa.array([c[k] for k in keys], pa.int64()) for c in (words[1], words[0]))]
+            for c in words:
+                c.clear()
+            return pa.RecordBatch.from_arrays(cols, ["lang", "key", "end", "go"])
+
         for batch in batches:
             rows = list(_rows(batch, 0))
             for row, spans in zip(rows, _units([r[2] for r in rows]), strict=True):
-                for kind, b in _count_words(*row, spans):
-                    total[kind * BUCKETS + b] += 1
+                said, spoken = _count_words(*row, spans)
+                for kind, w in said:
+                    words[kind][w] += 1
+                for k, b in spoken:
+                    total[k * LANG_BUCKETS + b] += 1
+            if len(words[0]) + len(words[1]) > HELD_WORDS:
+                yield counted()
+        yield counted()
         hit = np.flatnonzero(total)
-        cols = [pa.array((hit // BUCKETS).astype(np.int32)), pa.array((hit % BUCKETS).astype(np.int32)), pa.array(total[hit])]
-        yield pa.RecordBatch.from_arrays(cols, ["kind", "bucket", "n"])
+        cols = [pa.array((hit // LANG_BUCKETS + 1).astype(np.int32)), pa.array([str(b) for b in (hit % LANG_BUCKETS).tolist()], pa.string()), pa.array(np.zeros(len(hit), np.int64)), pa.array(total[hit])]
+        yield pa.RecordBatch.from_arrays(cols, ["lang", "key", "end", "go"])
 
-    sums = pairs.select("question", "gold_answer", "agent_answer").mapInArrow(run, schema).groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    kind, at, n = (sums[c].to_numpy() for c in ("kind", "bucket", "n"))
-    ends = np.zeros((2, BUCKETS), np.uint16)
-    lang = np.zeros((len(_LANGS), LANG_BUCKETS), np.float32)
-    word = kind < 2
-    ends[kind[word], at[word]] = np.minimum(n[word], 65535)
-    lang[kind[~word] - 2, at[~word]] = n[~word]
-    return Statistics(ends[0], ends[1], lang)
+    found = pairs.select("question", "gold_answer", "agent_answer").mapInArrow(run, "lang int, key string, end long, go long")
+    sums = checkpointed(found.groupBy("lang", "key").agg(F.sum("end").alias("end"), F.sum("go").alias("go")))
+    spoken = sums.where("lang > 0").select(F.col("lang") - 1, F.col("key").cast("int"), "go").toArrow()
+    k, at, n = (c.to_numpy() for c in spoken.columns)
+    lang = np.zeros((len(_LANGS), LANG_BUCKETS))
+    lang[k, at] = n
+    return Statistics(lang), sums.where("lang = 0").select("key", "end", "go")
+
+
+def _open_ended() -> Column:
+    """Whether an answer may end without a mark."""
+    return ~F.coalesce(F.rtrim("agent_answer").rlike(r"""[.!?…。！？؟।]["'”“»」』)\]*_`]*\z"""), F.lit(True))
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    """rows (grade_id, question, gold_answer, agent_answer) with asked, their last words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers = batch.column("agent_answer").to_pylist()
+            yield batch.append_column("asked", pa.array([last_words(a, spans) for a, spans in zip(answers, _units(answers), strict=True)], pa.string()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("asked", T.StringType())]))
+
+
+def seen_words(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """(asked, end, go, end_pair, go_pair, longer) of the last words of the answers
+    that end without a mark."""
+    open_ended = pairs.where(_open_ended()).select("grade_id", "question", "gold_answer", "agent_answer")
+    asked = checkpointed(_asked(open_ended).where("asked <> ''").select("asked").distinct()).withColumn("last", F.substring_index("asked", " ", -1))
+    single = words.where(~F.contains("key", F.lit(" ")))
+    parts = single.where("length(key) > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("key") - 1), lambda n: F.col("key").substr(F.lit(1), n))).alias("last"), (F.col("end") + F.col("go")).alias("n"))
+    longer = parts.join(asked.select("last").distinct(), "last", "left_semi").groupBy("last").agg(F.sum("n").alias("longer"))
+    both = words.select(F.col("key").alias("asked"), F.col("end").alias("end_pair"), F.col("go").alias("go_pair"))
+    seen = asked.join(single.withColumnRenamed("key", "last"), "last", "left").join(longer, "last", "left").join(both, "asked", "left")
+    return checkpointed(seen.select("asked", *SEEN).fillna(0))
+
+
+def with_seen(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(grade_id, question, gold_answer, agent_answer, end, go, end_pair, go_pair,
+    longer), the counts null for answers with a closing mark.  Only the others are
+    shuffled, in SALTS parts for each asked pair of words."""
+    rows = pairs.select("grade_id", "question", "gold_answer", "agent_answer")
+    salted = seen.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    asked = _asked(rows.where(_open_ended())).withColumn("salt", F.pmod(F.xxhash64("grade_id", "question", "agent_answer"), F.lit(SALTS)))
+    looked_up = asked.join(salted, ["asked", "salt"], "left").select(*rows.columns, *SEEN)
+    return looked_up.union(rows.where(~_open_ended()).select(*rows.columns, *(F.lit(None).cast("bigint").alias(c) for c in SEEN)))
 
 
 def is_empty(answer: str | None) -> bool:
@@ -261,8 +325,9 @@ class Clauses:
 PLAIN_FEATURES = 26
 
 
-def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[tuple[int, int]], stats: Statistics) -> Clauses:
-    """Features of the clauses, given by their spans, of an answer that is not empty."""
+def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[tuple[int, int]], stats: Statistics, seen: Seen | None) -> Clauses:
+    """Features of the clauses, given by their spans, of an answer that is not empty;
+    seen are the counts of its last words if it ends without a mark."""
     spans = spans or [(0, len(answer))]
     asked = words_of(normalise(question or ""))
     asked_set = set(asked)
@@ -303,7 +368,8 @@ def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[
         last = k == len(spans) - 1
         open_end = last and not _END.search(raw)
         open_marks = last and (raw.count("`") % 2 == 1 or raw.count('"') % 2 == 1 or raw.count("(") > raw.count(")") or raw.count("«") > raw.count("»") or raw.count("„") > raw.count("“") + raw.count("”"))
-        cut = stats.cut_off(raw) if open_end and gold_norm.strip() != answer_norm.strip() else 0.0
+        asked = last_words(raw, []) if open_end and seen else ""
+        cut = cut_off(asked.rpartition(" ")[2], *seen) if asked and gold_norm.strip() != answer_norm.strip() else 0.0
         hanging = open_end and raw.rstrip()[-1:] in ",;–—-(" and len(words) > 1
         if open_end and (open_marks and len(words) > 2 or hanging):
             cut = 1.0
@@ -415,14 +481,14 @@ def best_tags(field: Field, features: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
-def defect_of(question: str | None, gold: str | None, answer: str | None, spans: list[tuple[int, int]], field: Field, stats: Statistics) -> tuple[str | None, list[float]]:
+def defect_of(question: str | None, gold: str | None, answer: str | None, spans: list[tuple[int, int]], seen: Seen | None, field: Field, stats: Statistics) -> tuple[str | None, list[float]]:
     """The defect of a pair, if any, and the share of the response by tag."""
     shares = [0.0] * TAGS
     if is_empty(answer):
         return "empty", shares
     if gold is None:
         return None, shares
-    c = clauses_of(question, gold, answer, spans, stats)
+    c = clauses_of(question, gold, answer, spans, stats, seen)
     tags = best_tags(field, c.features)
     sizes = np.array([b - a for a, b in c.spans], float)
     cover = np.bincount(tags, sizes, minlength=TAGS) / max(1.0, sizes.sum())
@@ -440,18 +506,24 @@ def defect_of(question: str | None, gold: str | None, answer: str | None, spans:
     return None, shares
 
 
-def _rows(batch: pa.RecordBatch, start: int) -> Iterator[tuple[str | None, str | None, str | None]]:
+def _rows(batch: pa.RecordBatch | pa.Table, start: int) -> Iterator[tuple[str | None, str | None, str | None]]:
     return zip(*(batch.column(k).to_pylist() for k in range(start, start + 3)), strict=True)
 
 
-def fit(pairs: DataFrame, stats: Statistics, sample_rows: int = SAMPLE_ROWS) -> Field:
+def _seen(table: pa.RecordBatch | pa.Table) -> list[Seen | None]:
+    counts = zip(*(table.column(c).to_pylist() for c in SEEN), strict=True)
+    return [None if c[0] is None else c for c in counts]
+
+
+def fit(pairs: DataFrame, stats: Statistics, seen: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
     """The field fitted on about sample_rows rows, at most twice as many, drawn by a hash of the row."""
     some = pairs.where(F.col("gold_answer").isNotNull() & F.col("agent_answer").isNotNull())
     chance = min(1.0, sample_rows / max(1, some.count()))
     drawn = F.pmod(F.xxhash64("grade_id", "question", "agent_answer"), F.lit(2**40)) < F.lit(int(chance * 2**40))
-    sample = some.where(drawn).select("question", "gold_answer", "agent_answer").limit(2 * sample_rows).toArrow()
-    rows = [r for r in zip(*(sample.column(k).to_pylist() for k in range(3)), strict=True) if not is_empty(r[2])]
-    return fit_field([clauses_of(*row, spans, stats) for row, spans in zip(rows, _units([r[2] for r in rows]), strict=True)])
+    sample = with_seen(some.where(drawn), seen).limit(2 * sample_rows).toArrow()
+    drawn_rows = sorted(zip(_rows(sample, 1), _seen(sample), strict=True), key=lambda r: (r[0][0] or "", *r[0][1:]))
+    rows = [r for r in drawn_rows if not is_empty(r[0][2])]
+    return fit_field([clauses_of(*row, spans, stats, words) for (row, words), spans in zip(rows, _units([r[2] for r, _ in rows]), strict=True)])
 
 
 def defective_pairs(pairs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -462,16 +534,17 @@ def defective_pairs(pairs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFra
     that; a null question is held as an empty one.  Responses of any length are
     read whole; repeated rows give repeated results; ties between tags go to the
     first; other columns are not read; no rows give no rows."""
-    stats = count(pairs)
-    field = fit(pairs, stats, sample_rows)
+    stats, words = count(pairs)
+    seen = seen_words(pairs, words)
+    field = fit(pairs, stats, seen, sample_rows)
     names = [f"{t}_share" for t in ("answer", "refusal", "echo", "foreign", "unfinished")]
     schema = T.StructType([pairs.schema["grade_id"], T.StructField("defect", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = list(_rows(batch, 1))
-            got = [defect_of(*row, spans, field, stats) for row, spans in zip(rows, _units([r[2] for r in rows]), strict=True)]
+            got = [defect_of(*row, spans, counts, field, stats) for row, spans, counts in zip(rows, _units([r[2] for r in rows]), _seen(batch), strict=True)]
             cols = [batch.column(0), pa.array([d for d, _ in got], pa.string()), *(pa.array([s[k] for _, s in got], pa.float64()) for k in range(TAGS))]
             yield pa.RecordBatch.from_arrays(cols, ["grade_id", "defect", *names])
 
-    return pairs.select("grade_id", "question", "gold_answer", "agent_answer").mapInArrow(run, schema).where(F.col("defect").isNotNull())
+    return with_seen(pairs, seen).mapInArrow(run, schema).where(F.col("defect").isNotNull())

@@ -2,6 +2,7 @@ import random
 import re
 import string
 import unicodedata
+import zlib
 
 import numpy as np
 import pytest
@@ -104,21 +105,33 @@ def test_defective_pairs(spark):
 
 
 @pytest.mark.parametrize(
-    "word,end,go,end_pair,go_pair,cut",
+    "word,end,go,end_pair,go_pair,longer,cut",
     [
-        ("record", 2, 900, 2, 300, True),  # two endings do not make a pair that goes on an ending
-        ("the", 2, 9000, 2, 300, True),
-        ("record", 400, 900, 40, 2, False),
-        ("999", 1, 900, 0, 0, True),  # nor does one make a number whole
-        ("9999", 300, 900, 0, 0, False),
+        ("record", 2, 900, 2, 300, 0, True),  # two endings do not make a pair that goes on an ending
+        ("the", 2, 9000, 2, 300, 0, True),
+        ("record", 400, 900, 40, 2, 0, False),
+        ("affec", 1, 0, 0, 0, 800, True),  # a part of a word
+        ("999", 1, 900, 0, 0, 0, True),  # nor does one make a number whole
+        ("9999", 300, 900, 0, 0, 0, False),
     ],
 )
-def test_more_text_of_the_same_kind_makes_no_other_verdict(word, end, go, end_pair, go_pair, cut):
+def test_more_text_of_the_same_kind_makes_no_other_verdict(word, end, go, end_pair, go_pair, longer, cut):
     for n in (1, 2, 10, 60, 1000):
-        got = pairs.cut_off(word, *(n * c for c in (end, go, end_pair, go_pair)))
+        got = pairs.cut_off(word, *(n * c for c in (end, go, end_pair, go_pair, longer)))
         assert got >= 0.9 if cut else got <= 0.1, (n, got)
 
 
+def test_last_words_are_counted_exactly(spark):
+    other = "so awshu"  # shared a bucket of 2 ** 20 with "so wi"
+    assert zlib.crc32(f"2 {other}".encode()) % 2**20 == zlib.crc32(b"2 so wi") % 2**20
+    rows = [(1, "the " * 70000 + "x", other, "It is so the", "", ""), (2, None, other, "It is so wi", "", ""), (3, None, "wide winds", "It is so.", "", "")]
+    df = spark.createDataFrame(rows, QUESTIONS)
+    _, words = pairs.count(df)
+    got = {r.asked: tuple(r)[1:] for r in pairs.seen_words(df, words).collect()}
+    assert got == {"so the": (0, 70000, 0, 0, 0), "so wi": (0, 0, 0, 0, 2)}
+    assert {r.grade_id: r.go for r in pairs.with_seen(df, pairs.seen_words(df, words)).collect()} == {1: 70000, 2: 0, 3: None}
+
+
 def test_field_marginals_against_all_taggings():
     rng = np.random.default_rng(0)
     scores, move = rng.normal(size=(1, 3, pairs.TAGS)), rng.normal(size=(pairs.TAGS, pairs.TAGS))
