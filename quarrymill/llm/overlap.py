@@ -55,6 +55,10 @@ SAME_MEANING = [
     )
 ]
 
+#: An identifier: words of other scripts may stand beside it without a blank.
+_IDENTIFIER = re.compile(r"[0-9a-z]+(?:[.\-_][0-9a-z]+)*")
+# scripts without blanks between words: Thai, kana, Chinese characters
+_UNSPACED = re.compile("([ก-๛぀-ヿ㐀-䶿一-鿿])")
 _WORD = re.compile(r"[^\W_]+(?:[.\-_][^\W_]+)*")
 
 
@@ -77,14 +81,19 @@ def normalise(text: str | None) -> str:
     return " ".join(_WORD.findall(s))
 
 
+def separated(norm: str) -> str:
+    """A normalised text with characters as words in scripts without blanks."""
+    return norm if norm.isascii() else " ".join(w for part in _UNSPACED.sub(r" \1 ", norm).split() if (w := part.strip("-._")))
+
+
 def key_of(norm: str) -> str:
-    """The identifiers of a normalised text: its words with a digit, sorted."""
-    return " ".join(sorted(w for w in norm.split() if any(c.isdigit() for c in w)))
+    """The identifiers of a normalised text: its distinct ASCII runs with a digit, sorted."""
+    return " ".join(sorted({w for w in _IDENTIFIER.findall(norm) if any(c.isdigit() for c in w)}))
 
 
 @lru_cache(maxsize=1)
 def _lexicon() -> tuple[frozenset[str], dict[str, str], dict[str, list[str]]]:
-    idle = frozenset(normalise(w) for w in IDLE)
+    idle = frozenset(p for w in IDLE for p in separated(normalise(w)).split())
     same = {normalise(w): normalise(group[0]) for group in SAME_MEANING for w in group}
     by_length: dict[str, list[str]] = defaultdict(list)
     for w in [*idle, *same]:
@@ -118,7 +127,7 @@ def _idle_slip(word: str) -> bool:
 
 def _content(norm: str) -> Counter[str]:
     idle, same, _ = _lexicon()
-    words = [same.get(w, w) for w in norm.split() if w not in idle]
+    words = [same.get(w, w) for w in separated(norm).split() if w not in idle]
     return Counter(words)
 
 
@@ -197,7 +206,7 @@ def _normal_form(questions: DataFrame) -> DataFrame:
 
     @F.pandas_udf("norm string, key string")
     def forms(text: pd.Series) -> pd.DataFrame:
-        norm = text.map(normalise)
+        norm = text.map(lambda t: separated(normalise(t)))
         return pd.DataFrame({"norm": norm, "key": norm.map(key_of)})
 
     some = questions.where(F.col("qid").isNotNull() & F.col("question").isNotNull()).select("qid", "question").distinct()

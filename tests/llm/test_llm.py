@@ -262,6 +262,13 @@ def test_same_question(a, b, same):
     assert (overlap.key_of(x) == overlap.key_of(y) and overlap.same_question(x, y)) is same
 
 
+def test_identifiers_beside_words_without_blanks_and_said_twice(spark):
+    gold = [("g1", "VLN-2018-005799影响Drotorfen 4.12.28的哪个端口？"), ("g2", "Which port does Nevbel 7.1 open?"), ("g3", "VLN-2018-005799影响Drotorfen 4.12.28的哪个组件？")]
+    held = [("h1", "请 Drotorfen 4.12.28的哪个端口 VLN-2018-005799影响？"), ("h2", "In Nevbel 7.1, which port does Nevbel 7.1 open?"), ("h3", "Which port does Nevbel 7.2 open?")]
+    g, h = (spark.createDataFrame(rows, "qid string, question string") for rows in (gold, held))
+    assert {(r.qid_a, r.qid_b) for r in overlap.cross_split_pairs(h, g).collect()} == {("g1", "h1"), ("g2", "h2")}
+
+
 @pytest.mark.parametrize("shard", [2, 2000])
 def test_cross_split_pairs_against_all_pairs(spark, shard):
     schema = "qid string, question string, split string, source string, norm string"
