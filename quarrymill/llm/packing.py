@@ -5,164 +5,242 @@ other documents stay whole.  Spark spreads the items over shards by hash; each
 shard is packed by several islands, groups of their own that evolve a small
 population of packings.  A packing's genes are its containers: crossover injects
 whole well-filled containers of one parent into the other, drops the containers
-that hold an injected item too, and puts the displaced items back by best fit.
-Between epochs the best packings migrate to the next island, through a shuffle.
-In the end the items of badly filled containers of all shards are pooled and
-packed again in fewer shards.
+that hold an injected item too, opens a few badly filled ones (the mutation), and
+puts the displaced items back, by swaps that fill a container better and then by
+best fit.  Between epochs the best packings migrate to the next island, through a
+shuffle.  Containers that are full up to SLACK are done; the items of all others
+are pooled over the shards and packed again, in fewer shards each round.
+
+A packing is one flat array, the container of each item; the packings of an
+island lie behind one another in one array of integers.
 """
 
 from __future__ import annotations
 
-import random
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from zlib import crc32
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import checkpointed
 from .mixing import token_count
 
-#: Items of a shard, islands of a shard, epochs between migrations.
+#: Items of a shard, and of a shard of the last round; islands of a shard, epochs between migrations.
 SHARD_ITEMS = 768
-ISLANDS = 2
-EPOCHS = 2
+LAST_SHARD_ITEMS = 3072
+ISLANDS = 3
+EPOCHS = 3
 #: Offspring an island makes in an epoch, packings it keeps, packings that migrate.
-OFFSPRING = 16
+OFFSPRING = 20
 POPULATION = 6
 ELITE = 2
-#: Rounds in which badly filled containers are pooled and packed again, and what is badly filled.
+#: Rounds in which containers with more free room than this share are pooled and packed again.
 POOL_ROUNDS = 2
-WELL_FILLED = 0.985
+SLACK = 0.0005
+#: One of how many well-filled containers is injected, and one of how many others is opened.
+INJECT = 10
+OPEN = 30
+#: Displaced items that are tried in pairs, and such swaps at most.
+PAIRED = 40
+SWAPS = 4
 
-Packing = list[list[int]]
+_NO = np.int64(1) << 40
 
 
-def best_fit(items: list[int], sizes: list[int], capacity: int, bins: Packing) -> Packing:
-    """bins with the items added, each to the fullest container that takes it."""
-    bins = list(bins)
-    free = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
-    for i in items:
-        at = bisect_left(free, (sizes[i], -1))
-        if at == len(free):
-            bins.append([i])
-            insort(free, (capacity - sizes[i], len(bins) - 1))
+def free_room(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Free room of every container of a packing."""
+    return capacity - np.bincount(bins, sizes).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
+
+
+def value(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> float:
+    """Mean square of the fill: full containers and few of them count most."""
+    fill = np.bincount(bins, sizes) / capacity
+    return float((fill * fill).mean()) if len(fill) else 0.0
+
+
+def best_fit(bins: np.ndarray, sizes: np.ndarray, free: np.ndarray, items: np.ndarray, capacity: int) -> np.ndarray:
+    """bins with the items added in their order, each to the fullest container that takes it."""
+    if not len(items):
+        return bins
+    some = np.flatnonzero(free >= sizes[items].min())
+    room = sorted(zip(free[some].tolist(), some.tolist(), strict=True))
+    n = len(free)
+    for i, size in zip(items.tolist(), sizes[items].tolist(), strict=True):
+        at = bisect_left(room, (size, -1))
+        if at == len(room):
+            bins[i] = n
+            insort(room, (capacity - size, n))
+            n += 1
         else:
-            room, k = free.pop(at)
-            bins[k] = [*bins[k], i]
-            insort(free, (room - sizes[i], k))
+            left, k = room.pop(at)
+            bins[i] = k
+            insort(room, (left - size, k))
     return bins
 
 
-def value(bins: Packing, sizes: list[int], capacity: int) -> float:
-    """Mean square of the fill: full containers and few of them count most."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
-
-
-def improve(loose: list[int], bins: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Displaced items back in: first one is swapped for a smaller item of a
-    container where that fills it better, then all go in by best fit."""
-    loose = sorted(loose, key=lambda i: -sizes[i])
-    for n, i in enumerate(loose):
-        for k in rng.sample(range(len(bins)), min(6, len(bins))):
-            room = capacity - sum(sizes[j] for j in bins[k])
-            swap = [j for j in bins[k] if sizes[j] < sizes[i] <= sizes[j] + room]
-            if swap:
-                j = min(swap, key=lambda x: sizes[x] + room - sizes[i])
-                bins[k] = [x for x in bins[k] if x != j] + [i]
-                loose[n] = j
-                break
-    return best_fit(sorted(loose, key=lambda i: -sizes[i]), sizes, capacity, bins)
-
-
-def crossover(one: Packing, other: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
+def falling(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The items by falling size."""
+    return items[np.argsort(-sizes[items], kind="stable")]
+
+
+def put_back(bins: np.ndarray, sizes: np.ndarray, free: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """bins with the displaced items (-1 in bins) back in: first a displaced item, or
+    a pair of them, takes the place of a smaller item where that leaves the least
+    room, then all go in by best fit."""
+    at = np.flatnonzero(bins >= 0)
+    at = at[free[bins[at]] > 0]  # a full container gains nothing
+    held = sizes[at]
+    left = falling(loose, sizes).tolist()
+    for n, i in enumerate(left if len(at) else ()):
+        room = free[bins[at]]
+        more = sizes[i] - held
+        rest = np.where((more > 0) & (more <= room), room - more, _NO)
+        j = int(rest.argmin())
+        if rest[j] < _NO:
+            k = bins[at[j]]
+            free[k] -= more[j]
+            bins[i], bins[at[j]], left[n] = k, -1, int(at[j])
+            at[j], held[j] = i, sizes[i]
+    loose = np.array(left, np.int64)
+    for _ in range(SWAPS):
+        if len(loose) < 2 or not len(at):
+            break
+        a, b = np.triu_indices(min(len(loose), PAIRED), 1)
+        both = sizes[loose[a]] + sizes[loose[b]]
+        order = np.argsort(both, kind="stable")
+        both = both[order]
+        room = free[bins[at]]
+        pair = np.searchsorted(both, held + room, side="right") - 1
+        got = np.where(pair >= 0, both[np.maximum(pair, 0)], 0)
+        rest = np.where(got > held, held + room - got, _NO)
+        j = int(rest.argmin())
+        if rest[j] >= _NO:
+            break
+        x, y = loose[a[order[pair[j]]]], loose[b[order[pair[j]]]]
+        out, k = at[j], bins[at[j]]
+        bins[x] = bins[y] = k
+        bins[out], free[k] = -1, rest[j]
+        loose = np.append(loose[(loose != x) & (loose != y)], out)
+        at[j], held[j] = x, sizes[x]
+        at, held = np.append(at, y), np.append(held, sizes[y])
+    return best_fit(bins, sizes, free, falling(loose, sizes), capacity)
+
+
+def crossover(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """A child of one with some of the best-filled containers of the other."""
-    fills = sorted(other, key=lambda b: -sum(sizes[i] for i in b))
-    pick = fills[: max(1, len(fills) // 2)]
-    injected = rng.sample(pick, max(1, len(pick) // 3))
-    held = {i for b in injected for i in b}
-    kept = [b for b in one if held.isdisjoint(b)]
-    loose = [i for b in one if not held.isdisjoint(b) for i in b if i not in held]
-    # and the least filled containers are opened
-    kept.sort(key=lambda b: sum(sizes[i] for i in b))
-    for b in kept[: max(1, len(kept) // 20)]:
-        loose += b
-    return improve(loose, injected + kept[max(1, len(kept) // 20) :], sizes, capacity, rng)
-
-
-def start(sizes: list[int], capacity: int, rng: random.Random) -> list[Packing]:
+    room = free_room(other, sizes, capacity)
+    well = np.argsort(room + rng.random(len(room)), kind="stable")[: max(1, len(room) // 2)]
+    picked = np.sort(rng.choice(well, max(1, len(well) // INJECT), replace=False))
+    injected = np.isin(other, picked)
+    opened = np.zeros(one.max() + 1, bool)
+    opened[one[injected]] = True
+    kept = np.flatnonzero(~opened)
+    if len(kept):  # mutation: the least filled and some of the others are opened too
+        least = np.argsort(-free_room(one, sizes, capacity)[kept], kind="stable")[: max(1, len(kept) // OPEN)]
+        opened[kept[least]] = True
+        opened[rng.choice(kept, min(2, len(kept)), replace=False)] = True
+    loose = opened[one] & ~injected
+    child = one.copy()
+    child[injected] = len(opened) + np.searchsorted(picked, other[injected])
+    child[loose] = -1
+    inside = ~loose
+    child[inside] = np.unique(child[inside], return_inverse=True)[1]
+    return put_back(child, sizes, free_room(child[inside], sizes[inside], capacity), np.flatnonzero(loose), capacity)
+
+
+def start(sizes: np.ndarray, capacity: int, rng: np.random.Generator, population: int = POPULATION) -> list[np.ndarray]:
     """Best fit of the items by falling size, exact and perturbed."""
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    out = [best_fit(order, sizes, capacity, [])]
-    for _ in range(POPULATION - 1):
-        noisy = sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.75, 1.0))
-        out.append(best_fit(noisy, sizes, capacity, []))
-    return out
+    none, empty = np.full(len(sizes), -1, np.int64), np.zeros(0, np.int64)
+    orders = [np.argsort(-sizes * (rng.uniform(0.75, 1.0, len(sizes)) if k else 1.0), kind="stable") for k in range(population)]
+    return [best_fit(none.copy(), sizes, empty, order, capacity) for order in orders]
 
 
-def evolve(sizes: list[int], capacity: int, population: list[Packing], rng: random.Random, offspring: int = OFFSPRING) -> list[Packing]:
+def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], rng: np.random.Generator, offspring: int = OFFSPRING) -> list[np.ndarray]:
     """The population after an epoch, best first."""
+    ranked = sorted(((value(p, sizes, capacity), p) for p in population), key=lambda x: -x[0])[:POPULATION]
     if len(sizes) < 2:
-        return population[:1]
-    score = lambda p: value(p, sizes, capacity)
-    ranked = sorted(((score(p), p) for p in population), key=lambda x: -x[0])[:POPULATION]
+        return [p for _, p in ranked]
     for _ in range(offspring):
-        a, b = (max(rng.sample(ranked, 2), key=lambda x: x[0])[1] if len(ranked) > 1 else ranked[0][1] for _ in "ab")
+        a, b = (ranked[int(rng.integers(len(ranked), size=2).min())][1] for _ in "ab")  # tournaments of two
         child = crossover(a, b, sizes, capacity, rng)
-        got = score(child)
-        if got > ranked[-1][0] or len(ranked) < POPULATION:
+        got = value(child, sizes, capacity)
+        if (len(ranked) < POPULATION or got > ranked[-1][0]) and all(abs(got - v) > 1e-12 for v, _ in ranked):
             ranked = sorted([*ranked, (got, child)], key=lambda x: -x[0])[:POPULATION]
     return [p for _, p in ranked]
 
 
-_STATE = "limit_name string, capacity int, shard long, island int, ids array<long>, parts array<int>, sizes array<int>, packings array<array<array<int>>>"
+def _epoch(epoch: int, offspring: int):  # noqa: ANN202
+    def run(group: pa.Table) -> pa.Table:
+        row = group.slice(0, 1)
+        name, capacity, shard, island = (row.column(c)[0].as_py() for c in ("limit_name", "capacity", "shard", "island"))
+        sizes = row.column("sizes")[0].values.to_numpy(zero_copy_only=False).astype(np.int64)
+        rng = np.random.default_rng(crc32(f"{name}-{shard}-{island}-{epoch}".encode()))
+        flat = [np.asarray(p.values.to_numpy(zero_copy_only=False), np.int64) for p in group.column("packings")]
+        population = [p for f in flat for p in f.reshape(-1, len(sizes))] or start(sizes, capacity, rng)
+        population = evolve(sizes, capacity, population, rng, offspring)
+        row = row.set_column(row.schema.get_field_index("packings"), "packings", pa.array([np.concatenate(population)], pa.list_(pa.int32())))
+        return row.set_column(row.schema.get_field_index("best"), "best", pa.array([value(population[0], sizes, capacity)], pa.float64()))
 
+    return run
 
-def _epoch(epoch: int):  # noqa: ANN202
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        row = group.iloc[0]
-        sizes, capacity = [int(s) for s in row["sizes"]], int(row["capacity"])
-        rng = random.Random(f"{row['limit_name']}-{row['shard']}-{row['island']}-{epoch}")
-        population = [[[int(i) for i in b] for b in p] for ps in group["packings"] for p in ps]
-        population = evolve(sizes, capacity, population or start(sizes, capacity, rng), rng)
-        return pd.DataFrame([row.to_dict() | {"packings": population[: POPULATION if epoch >= 0 else 1]}])
 
-    return run
+_ITEM = ("doc_id", "part", "n_parts", "tokens")
 
 
-def _pack(items: DataFrame, islands: int, epochs: int, groups: int) -> DataFrame:
-    """(limit_name, capacity, shard, bin, doc_id, part, tokens): each shard's best packing.
+def _pack(items: DataFrame, islands: int, epochs: int, groups: int, offspring: int) -> DataFrame:
+    """(limit_name, capacity, shard, bin, doc_id, part, n_parts, tokens, unused): each
+    shard's best packing, unused the free room of the item's container.
 
-    items: limit_name, capacity, shard, doc_id, part, tokens; shards are of bounded
-    size.  The rows are few and small but their work is long, so they are spread
-    over a set number of partitions, which is not cut down by their size in bytes."""
+    items: limit_name, capacity, shard, doc_id, part, n_parts, tokens; shards are of
+    bounded size.  The rows are few and small but their work is long, so they are
+    spread over a set number of partitions, which is not cut down by their size in bytes."""
     keys = ["limit_name", "capacity", "shard", "island"]
     spread = max(1, min(groups * islands, 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    state = items.groupBy("limit_name", "capacity", "shard").agg(F.array_sort(F.collect_list(F.struct("tokens", "doc_id", "part"))).alias("i"))
+    state = items.groupBy("limit_name", "capacity", "shard").agg(F.array_sort(F.collect_list(F.struct("tokens", "doc_id", "part", "n_parts"))).alias("i"))
     state = state.select(
-        "limit_name", "capacity", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"),
-        F.col("i.doc_id").alias("ids"), F.col("i.part").alias("parts"), F.col("i.tokens").alias("sizes"), F.expr("cast(array() as array<array<array<int>>>)").alias("packings"),
+        "limit_name", "capacity", "shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("i.doc_id").alias("ids"), F.col("i.part").alias("parts"),
+        F.col("i.n_parts").alias("of"), F.col("i.tokens").alias("sizes"), F.expr("cast(array() as array<int>)").alias("packings"), F.lit(0.0).alias("best"),
     )
     for epoch in range(epochs):
-        evolved = checkpointed(state.repartition(spread, *keys).groupBy(*keys).applyInPandas(_epoch(epoch), _STATE))
+        evolved = checkpointed(state.repartition(spread, *keys).groupBy(*keys).applyInArrow(_epoch(epoch, offspring), state.schema))
         # the best of each island also go to the next one
-        moved = evolved.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).withColumn("packings", F.slice("packings", 1, ELITE))
+        moved = evolved.withColumn("island", ((F.col("island") + 1) % islands).cast("int")).withColumn("packings", F.slice("packings", F.lit(1), ELITE * F.size("sizes")))
         state = evolved.unionByName(moved) if epoch < epochs - 1 and islands > 1 else evolved
-    best = state.select("limit_name", "capacity", "shard", "ids", "parts", "sizes", F.col("packings")[0].alias("packing"))
-    fill = F.aggregate("packing", F.lit(0.0), lambda acc, b: acc + F.pow(F.aggregate(b, F.lit(0.0), lambda s, i: s + F.col("sizes")[i]) / F.col("capacity"), F.lit(2.0))) / F.size("packing")
-    best = best.withColumn("fill", fill).groupBy("limit_name", "capacity", "shard").agg(F.max_by(F.struct("ids", "parts", "sizes", "packing"), "fill").alias("p"))
-    bins = best.select("limit_name", "capacity", "shard", "p.*").select("*", F.posexplode("packing").alias("bin", "members")).select("*", F.explode("members").alias("i"))
-    return bins.select("limit_name", "capacity", "shard", "bin", F.col("ids")[F.col("i")].alias("doc_id"), F.col("parts")[F.col("i")].alias("part"), F.col("sizes")[F.col("i")].alias("tokens"))
-
-
-def containers(documents: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, pool_rounds: int = POOL_ROUNDS) -> DataFrame:
+    best = state.groupBy("limit_name", "capacity", "shard").agg(F.max_by(F.struct("ids", "parts", "of", "sizes", F.slice("packings", F.lit(1), F.size("sizes")).alias("bins")), F.struct("best", "island")).alias("p"))
+    best = best.select("limit_name", "capacity", "shard", "p.*")
+    fields = {f.name: f for f in items.schema}
+    names = ["limit_name", "capacity", "shard", "bin", *_ITEM, "unused"]
+    schema = T.StructType([*(fields[c] for c in names[:3]), T.StructField("bin", T.IntegerType()), *(fields[c] for c in _ITEM), T.StructField("unused", T.LongType())])
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, parts, of, sizes, bins = (batch.column(c)[r].values for c in ("ids", "parts", "of", "sizes", "bins"))
+                at, size = (np.asarray(x.to_numpy(zero_copy_only=False), np.int64) for x in (bins, sizes))
+                owner = pa.array(np.full(len(at), r))
+                unused = free_room(at, size, batch.column("capacity")[r].as_py())[at]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(owner) for c in names[:3]), bins, ids, parts, of, sizes, pa.array(unused)], names)
+
+    return best.mapInArrow(unfold, schema)
+
+
+def containers(
+    documents: DataFrame, limits: DataFrame, shard_items: int = SHARD_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS, pool_rounds: int = POOL_ROUNDS,
+    offspring: int = OFFSPRING, last_shard_items: int = LAST_SHARD_ITEMS,
+) -> DataFrame:
     """(limit_name, capacity, container_id, doc_id, part, n_parts, tokens): every
     document assigned to containers of each capacity in limits.
 
     Only documents over the capacity have several parts, all but the last of
     which fill a container.  Null text counts one token, null doc_ids are left
     out, repeated doc_ids count once; no documents give no rows; limits with a
-    null or non-positive size are left out."""
+    null or non-positive size are left out; ties between packings go to the island
+    of the larger number."""
     caps = limits.where(F.col("max_size") > 0).select("limit_name", F.col("max_size").cast("int").alias("capacity"))
     sized = documents.where(F.col("doc_id").isNotNull()).select("doc_id", token_count(F.col("text")).alias("size")).groupBy("doc_id").agg(F.max("size").alias("size"))
     sized = checkpointed(sized)
@@ -172,33 +250,20 @@ def containers(documents: DataFrame, limits: DataFrame, shard_items: int = SHARD
     parts = both.withColumn("n_parts", n_parts).select("*", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
     tokens = F.least(F.col("size") - F.col("part").cast("bigint") * F.col("capacity"), F.col("capacity").cast("bigint")).cast("int")
     items = parts.withColumn("tokens", tokens)
-    full = items.where("tokens = capacity").select("limit_name", "capacity", F.concat_ws("-", "limit_name", F.lit("full"), "doc_id", "part").alias("container_id"), "doc_id", "part", "tokens")
-    left = items.where("tokens < capacity").select("limit_name", "capacity", "doc_id", "part", "tokens")
-    done = [full]
+    columns = ["limit_name", "capacity", *_ITEM]
+    out = items.where("tokens = capacity").select(F.concat_ws("-", "limit_name", F.lit("full"), "doc_id", "part").alias("container_id"), *columns)
+    left = items.where("tokens < capacity").select(*columns)
     for r in range(pool_rounds + 1):
         placed = left.withColumn("shard", F.pmod(F.xxhash64("doc_id", "part", F.lit(r)), F.lit(shards)))
-        packed = checkpointed(_pack(placed, islands, epochs, 2 * shards))
-        filled = F.sum("tokens").over(_window()) / F.col("capacity")
-        packed = packed.withColumn("filled", filled)
-        last = r == pool_rounds
-        good = packed if last else packed.where(F.col("filled") >= WELL_FILLED)
-        done.append(good.select("limit_name", "capacity", F.concat_ws("-", "limit_name", F.lit(r), "shard", "bin").alias("container_id"), "doc_id", "part", "tokens"))
-        if last:
-            break
-        left = checkpointed(packed.where(F.col("filled") < WELL_FILLED).select("limit_name", "capacity", "doc_id", "part", "tokens"))
-        most = left.groupBy("limit_name").count().agg(F.max("count")).first()[0] or 0
-        shards = max(1, -(-most // shard_items))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    counted = items.select("limit_name", "doc_id", "n_parts").distinct()
-    return out.join(counted, ["limit_name", "doc_id"]).select("limit_name", "capacity", "container_id", "doc_id", "part", "n_parts", "tokens")
-
-
-def _window():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("limit_name", "shard", "bin")
+        packed = checkpointed(_pack(placed, islands, epochs, 2 * shards, offspring))
+        done = F.lit(True) if r == pool_rounds else F.col("unused") <= SLACK * F.col("capacity")
+        named = F.concat_ws("-", "limit_name", F.lit(r), "shard", "bin").alias("container_id")
+        out = out.unionByName(packed.where(done).select(named, *columns))
+        if r < pool_rounds:
+            left = packed.where(~done).select(*columns)
+            most = left.groupBy("limit_name").count().agg(F.max("count")).first()[0] or 0
+            shards = max(1, -(-most // (shard_items if r < pool_rounds - 1 else last_shard_items)))
+    return out.select("limit_name", "capacity", "container_id", "doc_id", "part", "n_parts", "tokens")
 
 
 def report(packed: DataFrame) -> DataFrame:
