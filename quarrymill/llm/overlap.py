@@ -1,13 +1,16 @@
 """Same or near-same records across splits (problem 6).
 
-Evaluation questions are normalised and sharded by their identifiers (versions,
-builds, advisory numbers: any word with a digit), which no slip or rewording may
-change.  In each shard an Aho-Corasick automaton over the questions' passages
-(runs of two words, and identifiers) scans the training texts of that shard;
-every training text is scanned once.  The matched intervals are merged into the
-covered share of each evaluation record, and pairs covered enough are compared
-word by word: what differs must be slips of spelling, courtesies, function words
-or words exchanged for one of the same meaning.
+Evaluation questions are normalised to their content words: courtesies and function
+words are left out, words of one meaning become one.  Their passages are the single
+words, identifiers among them, and the runs of two words.  The distinct passages
+are sharded; the Aho-Corasick automaton of each shard scans every training text, in
+blocks of texts.  A pair becomes a candidate if the training text was hit by one of
+the passages that it cannot lack: the rarest of the identifiers (versions, builds,
+advisory numbers), which no rewording may change, or, in questions without any, the
+rarest passages without which the others cover too little.  The matched intervals
+of a candidate are merged into the covered share of the evaluation record; pairs
+covered enough are compared word by word: what differs must be slips of spelling,
+courtesies, function words or words exchanged for one of the same meaning.
 """
 
 from __future__ import annotations
@@ -15,9 +18,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +31,13 @@ from . import glyphs
 from .components import checkpointed
 
 #: Share of an evaluation question that its passages must cover in a training question.
-COVERED = 0.4
-#: Distinct questions of a shard, and of a block of a key that more questions share.
-SHARD = 2000
+COVERED = 0.5
+#: Distinct passages of an automaton, and training texts of a block, of which there are LEAST_BLOCKS at least.
+SHARD = 50_000
+BLOCK = 20_000
+LEAST_BLOCKS = 8
+#: Parts of the training texts that the same passage hits.
+SALTS = 8
 
 # Courtesies and function words, which make no difference.
 IDLE = """
@@ -117,6 +126,21 @@ def one_slip(a: str, b: str) -> bool:
     return len(x) <= 1 and len(y) <= 1 or len(x) == 2 and x == y[::-1]
 
 
+def two_slips(a: str, b: str) -> bool:
+    """Equal up to two letters added, left out, replaced or swapped with the next."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    last, row = None, list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, last, row = last, row, [i]
+        for j, y in enumerate(b, 1):
+            n = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                n = min(n, before[j - 2] + 1)
+            row.append(n)
+    return row[-1] <= 2
+
+
 @lru_cache(maxsize=100_000)
 def _idle_slip(word: str) -> bool:
     """A slip of a courtesy, function or everyday word."""
@@ -125,15 +149,34 @@ def _idle_slip(word: str) -> bool:
     return len(word) > 2 and any(one_slip(word, w) for w in near)
 
 
-def _content(norm: str) -> Counter[str]:
+@lru_cache(maxsize=100_000)
+def _parts(word: str) -> tuple[str, ...]:
+    """A word with digits that other scripts stand beside: its identifiers and the rest."""
+    found = [w for w in _IDENTIFIER.findall(word) if any(c.isdigit() for c in w)]
+    rest = [w for w in _IDENTIFIER.sub(lambda m: " " if any(c.isdigit() for c in m[0]) else m[0], word).split() if w.strip("-._")]
+    return (*found, *rest)
+
+
+def content_words(norm: str) -> list[str]:
+    """The words of a normalised text that say what is asked, words of one meaning as
+    one; all its words if it has no others."""
     idle, same, _ = _lexicon()
-    words = [same.get(w, w) for w in separated(norm).split() if w not in idle]
-    return Counter(words)
+    words = separated(norm).split()
+    if not norm.isascii():
+        words = [p for w in words for p in (_parts(w) if any(c.isdigit() for c in w) and not w.isascii() else (w,))]
+    return [same.get(w, w) for w in words if w not in idle] or words
+
+
+def _content(norm: str) -> Counter[str]:
+    return Counter(content_words(norm))
 
 
 def same_question(a: str, b: str) -> bool:
-    """Whether two normalised texts with the same identifiers ask the same."""
+    """Whether two normalised texts have the same identifiers and ask the same."""
+    if key_of(a) != key_of(b):
+        return False
     x, y = _content(a), _content(b)
+    everyday = _lexicon()[1]
     more, less = list((x - y).elements()), list((y - x).elements())
     for w in list(more):
         if any(c.isdigit() for c in w):
@@ -142,7 +185,10 @@ def same_question(a: str, b: str) -> bool:
             more.remove(w)  # an identifier said twice
             continue
         for v in less:
-            if len(w) > 2 and one_slip(w, v) and not any(c.isdigit() for c in v):
+            if any(c.isdigit() for c in v):
+                continue
+            # two slips are told from another word only where the word is an everyday one
+            if len(w) > 2 and one_slip(w, v) or len(w) > 4 and (w in everyday or v in everyday) and two_slips(w, v):
                 more.remove(w)
                 less.remove(v)
                 break
@@ -152,14 +198,16 @@ def same_question(a: str, b: str) -> bool:
     return all(x[w] and y[w] for w in rest)
 
 
-def passages_of(norm: str) -> list[tuple[int, int]]:
-    """(start, end) of the passages in " " + norm + " ": runs of two words with the
-    blanks around them, and identifiers by themselves."""
-    text = f" {norm} "
+def is_identifier(word: str) -> bool:
+    return any(c.isdigit() for c in word) and bool(_IDENTIFIER.fullmatch(word))
+
+
+def passages_of(words: list[str]) -> list[tuple[str, int, int]]:
+    """(passage, start, end) in " " + the joined words + " ", blanks included: the
+    single words and the runs of two."""
+    text = " " + " ".join(words) + " "
     gaps = [i for i, c in enumerate(text) if c == " "]
-    out = [(gaps[i], gaps[i + 2] + 1) for i in range(len(gaps) - 2)]
-    out += [(a, b + 1) for a, b in zip(gaps, gaps[1:], strict=False) if any(c.isdigit() for c in text[a:b])]
-    return out or [(0, len(text))]
+    return [(text[gaps[i] : gaps[i + n] + 1], gaps[i], gaps[i + n] + 1) for n in (1, 2) for i in range(len(gaps) - n)]
 
 
 def covered_share(spans: list[tuple[int, int]], length: int) -> float:
@@ -172,69 +220,123 @@ def covered_share(spans: list[tuple[int, int]], length: int) -> float:
     return total / max(1, length)
 
 
-def _scan(evals: pd.DataFrame, train: pd.DataFrame, covered: float) -> pd.DataFrame:
-    """Pairs of one block: the automaton of its evaluation passages over its training texts."""
-    import ahocorasick
+def needed_passages(passages: list[tuple[str, int, int]], texts_hit: list[int], covered: float) -> list[str]:
+    """The passages of an evaluation record of which any match has at least one.
 
-    passages: dict[str, int] = {}
-    spans_by_eval: list[list[tuple[int, int, int]]] = []
-    by_key: dict[str, list[int]] = defaultdict(list)
-    norms = evals["norm"].tolist()
-    for e, (norm, key) in enumerate(zip(norms, evals["key"], strict=True)):
-        text = f" {norm} "
-        spans_by_eval.append([(passages.setdefault(text[a:b], len(passages)), a, b) for a, b in passages_of(norm)])
-        by_key[key].append(e)
-    automaton = ahocorasick.Automaton()
-    for text, p in passages.items():
-        automaton.add_word(text, p)
-    if passages:
-        automaton.make_automaton()
-    rows = []
-    for norm, key in zip(train["norm"], train["key"], strict=True):
-        if key not in by_key:
-            continue
-        seen = {p for _, p in automaton.iter(f" {norm} ")}
-        for e in by_key[key]:
-            share = covered_share([(a, b) for p, a, b in spans_by_eval[e] if p in seen], len(norms[e]) + 2)
-            if share >= covered and same_question(norms[e], norm):
-                rows.append((norms[e], norm, min(1.0, share)))
-    return pd.DataFrame(rows, columns=["norm_eval", "norm_train", "covered"])
+    texts_hit: how many training texts each hits.  The rarest identifier; without
+    any, the rarest passages, until the others cover less than the share asked for."""
+    by_rarity = sorted(range(len(passages)), key=lambda k: (texts_hit[k], passages[k][0]))
+    for k in by_rarity:
+        if is_identifier(passages[k][0].strip(" ")):
+            return [passages[k][0]] if texts_hit[k] else []
+    length = max((e for _, _, e in passages), default=0)
+    taken: list[str] = []
+    rest = [passages[k] for k in by_rarity if texts_hit[k]]
+    while rest and covered_share([(a, b) for _, a, b in rest], length) >= covered:
+        taken.append(rest.pop(0)[0])
+    return sorted(set(taken))
 
 
 def _normal_form(questions: DataFrame) -> DataFrame:
-    """(qid, norm, key) of rows with a qid and a question that holds a word."""
+    """(qid, norm) of rows with a qid and a question that holds a word."""
 
-    @F.pandas_udf("norm string, key string")
-    def forms(text: pd.Series) -> pd.DataFrame:
-        norm = text.map(lambda t: separated(normalise(t)))
-        return pd.DataFrame({"norm": norm, "key": norm.map(key_of)})
+    @F.pandas_udf("string")
+    def form(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: separated(normalise(t)))
 
     some = questions.where(F.col("qid").isNotNull() & F.col("question").isNotNull()).select("qid", "question").distinct()
-    return some.select("qid", forms("question").alias("f")).select("qid", "f.*").where("norm <> ''")
+    return some.select("qid", form("question").alias("norm")).where("norm <> ''")
+
+
+def _with_words(forms: DataFrame, name: str) -> DataFrame:
+    """(name, norm, words) of the distinct texts, numbered and written once."""
+
+    @F.pandas_udf("string")
+    def words(norm: pd.Series) -> pd.Series:
+        return norm.map(lambda n: " ".join(content_words(n)))
+
+    numbered = forms.select("norm").distinct().withColumn(name, F.monotonically_increasing_id())
+    return checkpointed(numbered.select(name, "norm", words("norm").alias("words")))
+
+
+def passage_table(evals: DataFrame) -> DataFrame:
+    """(e, passage, start, end) of the evaluation texts (e, norm, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *p) for i, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in passages_of(w.split(" "))]
+            yield pa.RecordBatch.from_pydict(dict(zip(("e", "passage", "start", "end"), zip(*rows, strict=True), strict=True)) if rows else {"e": [], "passage": [], "start": [], "end": []}, schema)
+
+    schema = pa.schema([("e", pa.int64()), ("passage", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    return evals.select("e", "words").mapInArrow(run, "e long, passage string, start int, end int")
+
+
+def _scan_block(passages: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+    """The automaton of a shard's passages over a block of training texts."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for p in passages["passage"]:
+        automaton.add_word(p, p)
+    if len(automaton):
+        automaton.make_automaton()
+    found = [sorted({p for _, p in automaton.iter(f" {w} ")}) if len(automaton) else [] for w in texts["words"]]
+    return pd.DataFrame({"t": texts["t"].astype("int64"), "found": pd.Series(found, texts.index, object)})
+
+
+def scan(passages: DataFrame, train: DataFrame, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(t, found): the passages found in every training text (t, norm, words), also
+    where there are none.
+
+    Each automaton holds about ``shard`` distinct passages and scans all texts, about
+    ``block`` of them in a task; only bounded blocks of both sides are copied."""
+    some = passages.select("passage").distinct()
+    n_shards = max(1, -(-some.count() // shard))
+    n_blocks = max(LEAST_BLOCKS, -(-train.count() // block))
+    number = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = some.select("passage", number("passage", n_shards).alias("shard"), every(n_blocks).alias("block"))
+    right = train.select("t", "words", number("words", n_blocks).alias("block"), every(n_shards).alias("shard"))
+    hits = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(_scan_block, "t long, found array<string>")
+    return hits if n_shards == 1 else hits.groupBy("t").agg(F.flatten(F.collect_list("found")).alias("found"))
 
 
-def matched_texts(evals: DataFrame, train: DataFrame, covered: float = COVERED, shard: int = SHARD) -> DataFrame:
+def matched_texts(evals: DataFrame, train: DataFrame, covered: float = COVERED, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(norm_eval, norm_train, covered) of distinct normalised texts that ask the same.
 
-    Copies are one text here, however many rows have it.  A key with more texts
-    than ``shard`` is spread over blocks of that size on both sides."""
-    e = evals.select("norm", "key").distinct()
-    t = train.select("norm", "key").distinct().join(e.select("key").distinct(), "key", "left_semi")
-    shards = max(8, -(-e.count() // shard))
-    cut = lambda n: F.ceil(n / F.lit(shard)).cast("int")
-    sizes = e.groupBy("key").agg(F.count("*").alias("n_e")).join(t.groupBy("key").agg(F.count("*").alias("n_t")), "key")
-    big = sizes.where((F.col("n_e") > shard) | (F.col("n_t") > shard)).select("key", cut(F.col("n_e")).alias("cut_e"), cut(F.col("n_t")).alias("cut_t"))
-
-    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
-        with_cuts = df.join(big, "key", "left").fillna(1, ["cut_e", "cut_t"])
-        mine = F.pmod(F.xxhash64("norm", F.lit(own)), F.col(f"cut_{own}")).alias(f"salt_{own}")
-        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"cut_{other}").cast("bigint") - 1)).alias(f"salt_{other}")
-        where = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-        return with_cuts.select("norm", "key", where, mine, every).select("norm", "key", "shard", "salt_e", "salt_t")
-
-    place = ["shard", "salt_e", "salt_t"]
-    left, right = placed(e, "e", "t").groupBy(*place), placed(t, "t", "e").groupBy(*place)
-    return left.cogroup(right).applyInPandas(lambda a, b: _scan(a, b, covered), "norm_eval string, norm_train string, covered double")
+    Copies are one text here, however many rows have it; the training texts that a
+    passage hits are spread over SALTS parts."""
+    e, t = _with_words(evals, "e"), _with_words(train, "t")
+    passages = passage_table(e)
+    found = checkpointed(scan(passages, t, shard, block))
+    hits = found.select("t", F.explode("found").alias("passage"))
+    frequency = hits.groupBy("passage").agg(F.count("*").alias("texts_hit"))
+    counted = passages.join(frequency, "passage", "left").fillna(0, ["texts_hit"])
+    listed = counted.groupBy("e").agg(F.sort_array(F.collect_list(F.struct("start", "end", "passage", "texts_hit"))).alias("p"))
+
+    @F.pandas_udf("array<string>")
+    def needed(p: pd.Series) -> pd.Series:
+        return p.map(lambda x: needed_passages([(r["passage"], r["start"], r["end"]) for r in x], [r["texts_hit"] for r in x], covered))
+
+    listed = checkpointed(listed.withColumn("needed", needed("p")).where(F.size("needed") > 0).select("e", F.expr("transform(p, x -> struct(x.passage, x.start, x.end))").alias("spans"), "needed"))
+    asked = listed.select("e", F.explode("needed").alias("passage"))
+    asked = asked.select("e", "passage", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
+    candidates = asked.join(salted, ["passage", "salt"]).select("e", "t").distinct()
+    wide = candidates.join(listed.select("e", "spans"), "e").join(e.select("e", F.col("norm").alias("norm_eval")), "e").join(found, "t").join(t.select("t", F.col("norm").alias("norm_train")), "t")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for spans, seen, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                hit = set(seen)
+                share = covered_share([(s["start"], s["end"]) for s in spans if s["passage"] in hit], max(s["end"] for s in spans))
+                if share >= covered and same_question(a, b):
+                    rows.append((a, b, min(1.0, share)))
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64())], ["norm_eval", "norm_train", "covered"])
+
+    return wide.select("spans", "found", "norm_eval", "norm_train").mapInArrow(judge, "norm_eval string, norm_train string, covered double")
 
 
 def cross_split_pairs(holdout: DataFrame, gold: DataFrame, covered: float = COVERED) -> DataFrame:

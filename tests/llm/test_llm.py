@@ -254,13 +254,15 @@ def test_pieces_of_a_table(spark):
         ("Which component of Nevbel 7.1 is changed by VLN-2?", "Which component of Nevbel 7.1 is changed by VLN-1?", False),
         ("Which component of Torwyn 7.1 is changed by VLN-1?", "Which component of Nevbel 7.1 is changed by VLN-1?", False),
         ("What weakness is in the mail relay of Nevbel 7.1?", "What weakness is in the log formatter of Nevbel 7.1?", False),
+        ("When did Rasdun pubihs VLN-1 for Nevbel 7.1?", "When did Rasdun publish VLN-1 for Nevbel 7.1?", True),
+        ("When did Lordun publish VLN-1?", "When did Lortor publish VLN-1?", False),
         ("Ｗhich pоrt has Nevbel 7.1?", "WHICH PORT HAS NEVBEL 7.1?", True),
         ("In Nevbel 7.1, which ticket triggers VLN-1?", "Which ticket triggers VLN-1 in Nevbel 7.1?", True),
     ],
 )
 def test_same_question(a, b, same):
     x, y = overlap.normalise(a), overlap.normalise(b)
-    assert (overlap.key_of(x) == overlap.key_of(y) and overlap.same_question(x, y)) is same
+    assert overlap.same_question(x, y) is same
 
 
 def test_identifiers_beside_words_without_blanks_and_said_twice(spark):
@@ -270,21 +272,48 @@ def test_identifiers_beside_words_without_blanks_and_said_twice(spark):
     assert {(r.qid_a, r.qid_b) for r in overlap.cross_split_pairs(h, g).collect()} == {("g1", "h1"), ("g2", "h2")}
 
 
-@pytest.mark.parametrize("shard", [2, 2000])
-def test_cross_split_pairs_against_all_pairs(spark, shard):
+@pytest.mark.parametrize("shard,block", [(5, 4), (50_000, 20_000)])
+def test_cross_split_pairs_against_a_written_truth(spark, shard, block):
     schema = "qid string, question string, split string, source string, norm string"
-    names = ["Nevbel", "Torwyn", "Caldor"]
-    gold = [(f"q{i}", f"Which port does {names[i % 3]} {i % 4}.1 accept?", None, None, "clash") for i in range(24)] + [("q90", None, None, None, None), ("q91", "", None, None, None), ("q0", "Which port does Nevbel 0.1 accept?", None, None, None)]
-    held = [(f"h{i}", f"Hi, which prot does {names[i % 3]} {i % 4}.1 take?", ["holdout", None][i % 2], [" Desk", "desk", None][i % 3], "") for i in range(12)] + [("h0", "Hi, which prot does Nevbel 0.1 take?", "holdout", "desk", "")]
+    names, weak = ["Nevbel", "Torwyn", "Caldor"], ["header smuggling", "privilege confusion", "unchecked redirect", "unsafe parsing"]
+    gold, held, want = [], [], set()
+    for i in range(24):
+        gold.append((f"q{i:02d}", f"Which port does {names[i % 3]} {i}.1 accept a crafted record on?", None, None, "clash"))
+        gold.append((f"r{i:02d}", f"Why is the {weak[i % 4]} in the archive loader of {names[i // 4 % 3]} said to be {i // 12 + 1} times reported?", None, None, ""))
+    for i in range(0, 24, 2):
+        held.append((f"h{i:02d}", f"Hi, on which prot does {names[i % 3]} {i}.1 take a crafted record?", ["holdout", None][i % 4 // 2], [" Desk", "desk", None][i % 3], ""))
+        want.add((f"h{i:02d}", f"q{i:02d}"))
+        held.append((f"i{i:02d}", f"Which port does {names[(i + 1) % 3]} {i}.1 accept a crafted record on?", "shadow", None, ""))  # another product
+    gold += [("s1", "Why do operators avoid the relay of Umbrix?", None, None, ""), ("s2", "Why do operators avoid the relay of Palzel?", None, None, ""), ("q90", None, None, None, None), ("q91", "", None, None, None), gold[0]]
+    held += [("h90", "Please, why do operators avoid the rellay of Umbrix", "holdout", "desk", ""), ("h91", "what", "holdout", None, ""), ("h92", None, None, None, None), held[0]]
+    want.add(("h90", "s1"))
     g, h = spark.createDataFrame(gold, schema), spark.createDataFrame(held, schema)
-    norm = lambda rows: {(r[0], overlap.normalise(r[1])) for r in rows if overlap.normalise(r[1])}
-    want = {(a, b) for a, x in norm(held) for b, y in norm(gold) if overlap.key_of(x) == overlap.key_of(y) and overlap.same_question(x, y)}
-    found = overlap.matched_texts(overlap._normal_form(h), overlap._normal_form(g), shard=shard)
-    assert found.select("norm_eval").distinct().count() == len({x for _, x in norm(held)})
-    assert {(r.qid_a, r.qid_b) for r in overlap.cross_split_pairs(h, g).collect()} == want and want
+    found = {(r.qid_a, r.qid_b) for r in overlap.cross_split_pairs(h, g).collect()}
+    assert found == want
+    e, t = overlap._with_words(overlap._normal_form(h), "e"), overlap._with_words(overlap._normal_form(g), "t")
+    scanned = overlap.scan(overlap.passage_table(e), t, shard, block).collect()
+    assert sorted(r.t for r in scanned) == sorted(r.t for r in t.collect())  # every training text, once
+    sizes = [n for n in (overlap.matched_texts(overlap._normal_form(h), overlap._normal_form(g), c, shard, block).count() for c in (0.0, 0.5, 0.97))]
+    assert sizes[0] >= sizes[1] == len(want) > sizes[2]  # the covered share decides
     counted = overlap.report(h, g).collect()
-    assert sum(r.n_pairs for r in counted) >= len(want) and {r.split for r in counted} == {"holdout", "unknown"}
-    assert overlap.cross_split_pairs(h.where("false"), g).isEmpty()
+    assert sum(r.n_pairs for r in counted) >= len(want) and {r.split for r in counted} == {"holdout", "unknown", "shadow"}
+    assert overlap.cross_split_pairs(h.where("false"), g).isEmpty() and overlap.cross_split_pairs(h, g.where("false")).isEmpty()
+
+
+def test_needed_passages_lose_no_match_that_is_covered_enough():
+    rng = random.Random(9)
+    texts = [[rng.choice("ab cd efg hij klmno pqr stuvw xyz".split()) for _ in range(rng.randint(1, 7))] for _ in range(120)]
+    parts = [overlap.passages_of(w) for w in texts]
+    hit = {}
+    for ps in parts:
+        for p in {p for p, _, _ in ps}:
+            hit[p] = hit.get(p, 0) + 1
+    for ps in parts[:40]:
+        needed = set(overlap.needed_passages(ps, [hit[p] for p, _, _ in ps], 0.6))
+        for other in parts:
+            there = {p for p, _, _ in other}
+            share = overlap.covered_share([(a, b) for p, a, b in ps if p in there], max(e for _, _, e in ps))
+            assert share < 0.6 or needed & there
 
 
 # ---- 7 packing
