@@ -1,17 +1,19 @@
 """Long exact spans shared between records (problem 4): paragraph MinHash banding.
 
 A paragraph is any stretch of ``least`` characters of a record, the shortest
-span that counts.  Its shingles are its stretches of half that length, and its
-signature is one MinHash: the least of its shingles' hashes.  Two paragraphs
-that agree character by character have the same signature whatever stands
-around them, so one band of one row already has a recall of 1, and a record's
-paragraphs, which overlap, have few different signatures (about two in each
-half length), all found in one pass of a sliding minimum.
-
-Records whose paragraphs collide across documents are candidates.  The exact
-check compares their paragraphs by two independent 64-bit hashes, in one
-aggregation and without pairs.  Records that share a paragraph are clustered by
-connected components.
+span that counts, so that a shared span always holds a whole paragraph however it
+lies.  The signature of a paragraph are the least hashes of its shingles under
+BANDS x ROWS hash functions, taken by sliding minima over the record; the rows of a
+band make its key.  Paragraphs that follow one another mostly keep their minima, so
+a record has few different keys.  ``layouts`` measures what share of altered
+paragraphs a layout of bands finds, and how many keys it costs; paragraphs that agree
+character by character collide under every layout.
+
+Records whose paragraphs collide across documents are candidates.  Each of their
+paragraphs is joined to one of another document with the same two 64-bit hashes,
+never in pairs within a group, and both are compared as text.  The pairs that hold
+link the records; the connected components are the clusters, of which all records
+but the least one could be removed.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ from pyspark.sql import types as T
 from . import components as cc
 
 SLICE_CHARS = 400_000
+#: Signature of a paragraph: bands, rows of a band, and the part of a paragraph that a shingle takes.
+BANDS = 1
+ROWS = 2
+SHINGLE_PART = 4
+#: Runs of colliding paragraphs, of some 50 bytes, up to which they are broadcast to the texts.
+BROADCAST_RUNS = 400_000
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -84,33 +92,60 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def signatures(texts: list[str], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place, MinHash) of the shingle that signs each run of paragraphs."""
-    k = max(1, least // 2)
+def signatures(texts: list[str], least: int, bands: int = BANDS, rows: int = ROWS, part: int = SHINGLE_PART) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last, key): the paragraphs that start from first to last in a text
+    have this key in one of the bands."""
+    k = max(1, least // part)
     w = least - k + 1
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for a, b in _slices(texts):
         codes, base, lens = _joined(texts[a:b])
         if len(codes) < least:
             continue
         sums, powers = _prefix(codes, 0)
         shingles = _stretch_hash(sums, powers, np.arange(len(codes) - k + 1), k)
-        bits = np.uint64(max(1, int(len(shingles)).bit_length()))
-        # the place in the low bits: the minimum then says where it stands
-        place = np.arange(len(shingles), dtype=np.uint64)
-        signed = _sliding_min((shingles >> bits << bits) | place, w)
-        owner = np.repeat(np.arange(b - a), lens)[: len(signed)]
-        inside = np.arange(len(signed)) + least <= (base + lens)[owner]
-        at = np.unique((signed[inside] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64))
-        which = np.searchsorted(base, at, side="right") - 1
-        # empty texts share their neighbour's start; the last of them owns the place
-        out.append((which + a, at - base[which], shingles[at]))
+        owner = np.repeat(np.arange(b - a), lens)[: len(codes) - least + 1]
+        at = np.flatnonzero(np.arange(len(owner)) + least <= (base + lens)[owner])
+        for band in range(bands):
+            key = np.full(len(at), 11 + band, np.uint64)
+            for row in range(rows):
+                key = _mix(key ^ _sliding_min(_mix(shingles, 101 + band * rows + row), w)[at], 13)
+            new = np.ones(len(at), bool)
+            new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at)) - 1
+            which = owner[at[first]]
+            out.append((which + a, at[first] - base[which], at[last] - base[which], key[first]))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def layouts(texts: list[str], least: int, choices: list[tuple[int, int, int]], altered: tuple[int, ...] = (0, 1, 3), seed: int = 3) -> dict[tuple[int, int, int], dict[str, float]]:
+    """Of each layout (bands, rows, part): keys for 1,000 characters, and the share of
+    paragraphs that still collide after so many of their characters are altered.
+    Meant for a bounded sample of texts."""
+    rng = np.random.default_rng(seed)
+    long_enough = [t for t in texts if len(t) >= least]
+    out = {}
+    for bands, rows, part in choices:
+        figures = {"keys": 1000 * len(signatures(long_enough, least, bands, rows, part)[0]) / max(1, sum(map(len, long_enough)))}
+        for n in altered:
+            found = 0
+            for t in long_enough:
+                start = int(rng.integers(len(t) - least + 1))
+                one = t[start : start + least]
+                other = list(one)
+                for i in rng.choice(least, n, replace=False):
+                    other[i] = chr(ord(other[i]) + 1)
+                which, _, _, key = signatures([one, "".join(other)], least, bands, rows, part)
+                found += bool(set(key[which == 0].tolist()) & set(key[which == 1].tolist()))
+            figures[f"found_{n}"] = found / max(1, len(long_enough))
+        out[bands, rows, part] = figures
+    return out
+
+
 def records_of(chunks: DataFrame, bench: DataFrame) -> DataFrame:
     """(field, rec_id, doc, text) of chunks, quotes and claims.
 
@@ -128,68 +163,104 @@ def records_of(chunks: DataFrame, bench: DataFrame) -> DataFrame:
     return both.where(F.col("rec_id").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
 
 
+RECORD = ("field", "rec_id", "doc")
+
+
 def _signed(records: DataFrame, least: int) -> DataFrame:
-    """(sig, field, rec_id, doc, place), one row per signature of a record."""
-    schema = T.StructType([T.StructField("sig", T.LongType()), *(records.schema[c] for c in ("field", "rec_id", "doc")), T.StructField("place", T.IntegerType())])
+    """(key, field, rec_id, doc, first, last), one row for each run of paragraphs of one key."""
+    schema = T.StructType([T.StructField("key", T.LongType()), *(records.schema[c] for c in RECORD), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            which, place, sig = signatures(batch.column(3).to_pylist(), least)
+            which, first, last, key = signatures(batch.column(3).to_pylist(), least)
             rows = pa.array(which)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sig.view(np.int64)), *(batch.column(c).take(rows) for c in range(3)), pa.array(place.astype(np.int32))],
-                ["sig", "field", "rec_id", "doc", "place"],
-            )
+            cols = [pa.array(key.view(np.int64)), *(batch.column(c).take(rows) for c in range(3)), *(pa.array(x.astype(np.int32)) for x in (first, last))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", *RECORD, "first", "last"])
 
-    long_enough = records.where(F.length("text") >= least).select("field", "rec_id", "doc", "text")
-    return long_enough.mapInArrow(run, schema)
+    return records.where(F.length("text") >= least).select(*RECORD, "text").mapInArrow(run, schema)
 
 
-def _paragraphs(candidates: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, field, rec_id, doc, start): every paragraph holding a colliding shingle."""
-    k = max(1, least // 2)
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *(candidates.schema[c] for c in ("field", "rec_id", "doc")), T.StructField("start", T.IntegerType())])
+def candidates(records: DataFrame, least: int) -> DataFrame:
+    """(field, rec_id, doc, text, runs) of the records with paragraphs that collide with
+    those of another document; runs are (first, last) of their starts."""
+    signed = _signed(records, least)
+    colliding = signed.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("key")
+    hit = signed.join(colliding, "key", "left_semi").groupBy(*RECORD).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hit = cc.checkpointed(hit)
+    few = hit.agg(F.sum(F.size("runs")).alias("n")).first()[0] or 0
+    # few runs are sent to the texts, else both are shuffled; copies of a record are combined
+    # only here, where few records are left
+    side = F.broadcast(hit) if few <= BROADCAST_RUNS else hit
+    return records.select(*RECORD, "text").join(side, [*RECORD]).dropDuplicates([*RECORD, "text"])
+
+
+def _paragraphs(found: DataFrame, least: int) -> DataFrame:
+    """(h1, h2, field, rec_id, doc, start): every paragraph in a colliding run."""
+    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *(found.schema[c] for c in RECORD), T.StructField("start", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 codes, _, lens = _joined([batch.column(3)[row].as_py()])
-                places = np.unique(np.asarray(batch.column(4)[row].as_py(), np.int64))
-                starts = np.unique((places[:, None] - np.arange(least - k + 1)[None, :]).ravel())
-                starts = starts[(starts >= 0) & (starts + least <= lens[0])]
-                cols = []
-                for which in (0, 1):
-                    sums, powers = _prefix(codes, which)
-                    cols.append(pa.array(_stretch_hash(sums, powers, starts, least).view(np.int64)))
+                starts = np.unique(np.concatenate([np.arange(r["first"], r["last"] + 1) for r in batch.column(4)[row].as_py()]))
+                starts = starts[starts + least <= lens[0]]  # of another text under the same id
+                hashes = [pa.array(_stretch_hash(*_prefix(codes, which), starts, least).view(np.int64)) for which in (0, 1)]
                 same = pa.array(np.full(len(starts), row))
-                yield pa.RecordBatch.from_arrays(
-                    [*cols, *(batch.column(c).take(same) for c in range(3)), pa.array(starts.astype(np.int32))],
-                    ["h1", "h2", "field", "rec_id", "doc", "start"],
-                )
+                yield pa.RecordBatch.from_arrays([*hashes, *(batch.column(c).take(same) for c in range(3)), pa.array(starts.astype(np.int32))], ["h1", "h2", *RECORD, "start"])
 
-    return candidates.select("field", "rec_id", "doc", "text", "places").mapInArrow(run, schema)
+    return found.select(*RECORD, "text", "runs").mapInArrow(run, schema)
 
 
-def shared_paragraphs(records: DataFrame, least: int) -> DataFrame:
-    """(h1, h2, field, rec_id, doc, start) of every paragraph of exactly ``least``
-    characters that also stands in a record of another document.
+def shared_spans(records: DataFrame, least: int) -> DataFrame:
+    """(field, rec_id, doc, starts, with_field, with_rec_id, with_doc): the starts of the
+    paragraphs of exactly ``least`` characters that a record shares with one of another
+    document, compared as text.  Every shared paragraph is in one row, with one partner.
 
     Records shorter than that, empty or null share nothing.  Copies of a record
     under one id count once; ties and hot passages are combined before they are
-    shuffled, and no pairs are formed."""
-    signed = _signed(records, least)
-    colliding = signed.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("sig")
-    hit = signed.join(colliding, "sig", "left_semi").groupBy("field", "rec_id", "doc").agg(F.collect_set("place").alias("places"))
-    candidates = records.join(hit, ["field", "rec_id", "doc"])
-    # read twice below; written once, so that the candidates' texts are joined once
-    windows = cc.checkpointed(_paragraphs(candidates, least))
-    agreeing = windows.groupBy("h1", "h2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h1", "h2")
-    return windows.join(agreeing, ["h1", "h2"], "left_semi")
+    shuffled, and no pairs are formed within a group."""
+    found = cc.checkpointed(candidates(records, least))
+    paragraphs = _paragraphs(found, least)
+    place = F.struct("doc", "field", "rec_id", "start")
+    groups = paragraphs.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.doc <> hi.doc")
+    joined = paragraphs.join(groups, ["h1", "h2"]).withColumn("with", F.when(F.col("doc") != F.col("lo.doc"), F.col("lo")).otherwise(F.col("hi")))
+    partner = ["with_field", "with_rec_id", "with_doc"]
+    lined = joined.select(*RECORD, "start", *(F.col(f"with.{c}").alias(f"with_{c}") for c in RECORD), (F.col("start") - F.col("with.start")).alias("ahead"))
+    runs = lined.groupBy(*RECORD, *partner, "ahead").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    texts = found.select(*RECORD, "text")
+    both = runs.join(texts, [*RECORD]).join(texts.select(*(F.col(c).alias(f"with_{c}") for c in RECORD), F.col("text").alias("with_text")), partner)
+    columns = [*RECORD, "starts", *partner]
+    schema = both.select(*columns).schema
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, held = [], []
+            for row, (starts, ahead, one, other) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("starts", "ahead", "text", "with_text")), strict=True)):
+                same = [s for s in starts if s >= ahead and s + least <= len(one) and one[s : s + least] == other[s - ahead : s - ahead + least]]
+                if same:
+                    kept.append(row)
+                    held.append(same)
+            rows = pa.array(kept, pa.int64())
+            cols = [pa.array(held, pa.list_(pa.int32())) if c == "starts" else batch.column(c).take(rows) for c in columns]
+            yield pa.RecordBatch.from_arrays(cols, columns)
+
+    return both.mapInArrow(verified, schema)
+
+
+def clusters(records: DataFrame, least: int) -> DataFrame:
+    """(field, rec_id, cluster, removed) of the records that share spans, directly or
+    through others; cluster is the least member, the one that would be kept."""
+    node = lambda prefix: F.concat_ws("/", f"{prefix}field", f"{prefix}rec_id")
+    edges = shared_spans(records, least).select(node("").alias("a"), node("with_").alias("b")).distinct()
+    found = cc.components(edges)
+    return found.select(
+        F.split_part("node", F.lit("/"), F.lit(1)).alias("field"), F.expr("substring(node, instr(node, '/') + 1)").alias("rec_id"), F.col("component").alias("cluster"), (F.col("node") != F.col("component")).alias("removed")
+    )
 
 
 def sharing_records(records: DataFrame, least: int) -> DataFrame:
-    """(field, rec_id) of the records that share a span."""
-    return shared_paragraphs(records, least).select("field", "rec_id").distinct()
+    """(field, rec_id) of the records that share a span: the members of the clusters."""
+    return clusters(records, least).select("field", "rec_id")
 
 
 def coverage(records: DataFrame, least: int) -> DataFrame:
@@ -197,7 +268,7 @@ def coverage(records: DataFrame, least: int) -> DataFrame:
 
     shared_chars counts the characters inside spans shared with other documents,
     each once; it is 0 for a record that shares nothing."""
-    starts = shared_paragraphs(records, least).groupBy("field", "rec_id").agg(F.array_sort(F.collect_set("start")).alias("starts"))
+    starts = shared_spans(records, least).groupBy("field", "rec_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
     # each paragraph adds what reaches beyond the one before it
     others = F.size("starts") - 1
     steps = F.zip_with(F.slice("starts", F.lit(2), others), F.slice("starts", F.lit(1), others), lambda b, a: F.least(b - a, F.lit(least)))
@@ -207,14 +278,3 @@ def coverage(records: DataFrame, least: int) -> DataFrame:
     joined = sizes.join(shared, ["field", "rec_id"], "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
     part = F.coalesce(F.try_divide("shared_chars", "n_chars"), F.lit(0.0))
     return joined.select("field", "rec_id", "n_chars", "shared_chars", F.round(part, 6).alias("shared_part"))
-
-
-def clusters(records: DataFrame, least: int) -> DataFrame:
-    """(field, rec_id, cluster) of the records that share spans, directly or
-    through others; cluster is the least member."""
-    shared = shared_paragraphs(records, least).withColumn("node", F.concat_ws("/", "field", "rec_id"))
-    shared = cc.checkpointed(shared.select("h1", "h2", "node"))
-    hubs = shared.groupBy("h1", "h2").agg(F.min("node").alias("hub"))
-    edges = shared.join(hubs, ["h1", "h2"]).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    found = cc.components(edges)
-    return found.select(F.split_part("node", F.lit("/"), F.lit(1)).alias("field"), F.expr("substring(node, instr(node, '/') + 1)").alias("rec_id"), F.col("component").alias("cluster"))
