@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -88,33 +89,40 @@ def falling(items: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return items[np.argsort(-sizes[items], kind="stable")]
 
 
+@lru_cache(maxsize=None)
+def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of n numbers; n is at most PAIRED."""
+    return np.triu_indices(n, 1)
+
+
 def put_back(bins: np.ndarray, sizes: np.ndarray, free: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
     """bins with the displaced items (-1 in bins) back in: first a displaced item, or
     a pair of them, takes the place of a smaller item where that leaves the least
     room, then all go in by best fit."""
     at = np.flatnonzero(bins >= 0)
     at = at[free[bins[at]] > 0]  # a full container gains nothing
-    held = sizes[at]
+    own, held = bins[at], sizes[at]
+    most = held + free[own]  # the largest item that fits in the place of each
     left = falling(loose, sizes).tolist()
-    for n, i in enumerate(left if len(at) else ()):
-        room = free[bins[at]]
-        more = sizes[i] - held
-        rest = np.where((more > 0) & (more <= room), room - more, _NO)
-        j = int(rest.argmin())
-        if rest[j] < _NO:
-            k = bins[at[j]]
-            free[k] -= more[j]
+    for n, (i, size) in enumerate(zip(left, sizes[left].tolist(), strict=True) if len(at) else ()):
+        fits = np.where((held < size) & (most >= size), most, _NO)
+        j = int(fits.argmin())
+        if fits[j] < _NO:
+            k = own[j]
+            free[k] = fits[j] - size
             bins[i], bins[at[j]], left[n] = k, -1, int(at[j])
-            at[j], held[j] = i, sizes[i]
+            at[j], held[j] = i, size
+            same = np.flatnonzero(own == k)
+            most[same] = held[same] + free[k]
     loose = np.array(left, np.int64)
     for _ in range(SWAPS):
         if len(loose) < 2 or not len(at):
             break
-        a, b = np.triu_indices(min(len(loose), PAIRED), 1)
+        room = free[own]
+        a, b = _pairs(min(len(loose), PAIRED))
         both = sizes[loose[a]] + sizes[loose[b]]
         order = np.argsort(both, kind="stable")
         both = both[order]
-        room = free[bins[at]]
         pair = np.searchsorted(both, held + room, side="right") - 1
         got = np.where(pair >= 0, both[np.maximum(pair, 0)], 0)
         rest = np.where(got > held, held + room - got, _NO)
@@ -122,12 +130,12 @@ def put_back(bins: np.ndarray, sizes: np.ndarray, free: np.ndarray, loose: np.nd
         if rest[j] >= _NO:
             break
         x, y = loose[a[order[pair[j]]]], loose[b[order[pair[j]]]]
-        out, k = at[j], bins[at[j]]
+        out, k = at[j], own[j]
         bins[x] = bins[y] = k
         bins[out], free[k] = -1, rest[j]
         loose = np.append(loose[(loose != x) & (loose != y)], out)
         at[j], held[j] = x, sizes[x]
-        at, held = np.append(at, y), np.append(held, sizes[y])
+        at, held, own = np.append(at, y), np.append(held, sizes[y]), np.append(own, k)
     return best_fit(bins, sizes, free, falling(loose, sizes), capacity)
 
 
@@ -136,7 +144,9 @@ def crossover(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, capacity: i
     room = free_room(other, sizes, capacity)
     well = np.argsort(room + rng.random(len(room)), kind="stable")[: max(1, len(room) // 2)]
     picked = np.sort(rng.choice(well, max(1, len(well) // INJECT), replace=False))
-    injected = np.isin(other, picked)
+    chosen = np.zeros(len(room), bool)
+    chosen[picked] = True
+    injected = chosen[other]
     opened = np.zeros(one.max() + 1, bool)
     opened[one[injected]] = True
     kept = np.flatnonzero(~opened)
@@ -149,7 +159,9 @@ def crossover(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, capacity: i
     child[injected] = len(opened) + np.searchsorted(picked, other[injected])
     child[loose] = -1
     inside = ~loose
-    child[inside] = np.unique(child[inside], return_inverse=True)[1]
+    used = np.zeros(len(opened) + len(picked), bool)
+    used[child[inside]] = True
+    child[inside] = (np.cumsum(used) - 1)[child[inside]]
     return put_back(child, sizes, free_room(child[inside], sizes[inside], capacity), np.flatnonzero(loose), capacity)
 
 
