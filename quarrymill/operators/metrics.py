@@ -68,21 +68,31 @@ def consistency(verdicts: DataFrame, *by: str) -> DataFrame:
     return sums.select(*by, "claims", F.round(ratio(F.col("entailed"), F.col("claims")), 4).alias("entailed_rate"), F.round(ratio(F.col("needed"), F.col("cited")), 4).alias("citation_necessity"))
 
 
-def score_totals(scored: DataFrame) -> DataFrame:
-    """(score, pos, neg, pos_below, neg_below) of every distinct score, from rows
-    (score in [0, 1], label).
+def score_totals(scored: DataFrame, thresholds: bool = False) -> DataFrame:
+    """(score, pos, neg, is_tau, pos_below, neg_below) of every distinct score, from rows
+    (score in [0, 1], label), and, if asked for, of the thresholds 0 and just above
+    each score, which count no rows themselves.
 
     pos_below and neg_below count the rows of smaller scores.  The running totals
     are taken over ranges of the score first and then within each range, so that
     no task sorts all scores."""
-    per = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull()).groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    some = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull())
+    per = some.groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    own = F.struct("score", "pos", "neg", F.lit(False).alias("is_tau"))
+    tau = lambda x: F.struct(x.alias("score"), F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg"), F.lit(True).alias("is_tau"))
+    if thresholds:
+        each = per.select(F.explode(F.array(own, tau(F.round(F.col("score") + 1e-6, 6)), tau(F.lit(0.0)))).alias("r")).select("r.*")
+        per = each.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("is_tau").alias("is_tau"))
+    else:
+        per = per.withColumn("is_tau", F.lit(False))
     per = checkpointed(per.withColumn("range", F.floor(F.col("score") * RANGES)))
     ranges = per.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    every = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 1 rows
+    every = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES + 2 rows
     before = ranges.select("range", F.coalesce(F.sum("p").over(every), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(every), F.lit(0)).alias("n0"))
     inside = Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     joined = per.join(before, "range")
-    return joined.select("score", "pos", "neg", (F.col("p0") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("pos_below"), (F.col("n0") + F.coalesce(F.sum("neg").over(inside), F.lit(0))).alias("neg_below"))
+    below = lambda start, c: (F.col(start) + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_below")
+    return joined.select("score", "pos", "neg", "is_tau", below("p0", "pos"), below("n0", "neg"))
 
 
 def auroc(scored: DataFrame) -> DataFrame:
@@ -94,16 +104,22 @@ def auroc(scored: DataFrame) -> DataFrame:
     return sums.select("n_pos", "n_neg", F.round(F.coalesce(area, F.lit(0.5)), 4).alias("auroc"))
 
 
+def usable_for_calibration(split: Column) -> Column:
+    """Whether thresholds may be set on a question: not on those held out."""
+    return F.coalesce(split, F.lit("")) != "holdout"
+
+
 def sweep(scored: DataFrame) -> DataFrame:
     """(tau, false_answer_rate, over_refusal_rate, accuracy) of every threshold that
     changes anything: 0 and just above each score.  Rows answer if their score
-    reaches tau; label says whether they should."""
-    t = checkpointed(score_totals(scored))
+    reaches tau; label says whether they should.
+
+    A threshold may lie above other scores than its own, so it is put into the order
+    of the scores and counted there."""
+    t = score_totals(scored, thresholds=True)
     sums = t.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    above = t.select(F.round(F.col("score") + 1e-6, 6).alias("tau"), (F.col("pos_below") + F.col("pos")).alias("fr"), (F.col("neg_below") + F.col("neg")).alias("tr"))
-    zero = sums.where("p is not null").select(F.lit(0.0).alias("tau"), F.lit(0).cast("bigint").alias("fr"), F.lit(0).cast("bigint").alias("tr"))
-    both = above.unionByName(zero).groupBy("tau").agg(F.max("fr").alias("fr"), F.max("tr").alias("tr")).join(F.broadcast(sums), how="cross")  # one row
-    return _rates(both)
+    below = t.where("is_tau").select(F.col("score").alias("tau"), F.col("pos_below").alias("fr"), F.col("neg_below").alias("tr"))
+    return _rates(below.join(F.broadcast(sums), how="cross"))  # one row
 
 
 def _rates(counts: DataFrame) -> DataFrame:

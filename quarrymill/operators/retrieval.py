@@ -27,13 +27,14 @@ def top(scored: DataFrame, k: int, key: str = "qid", item: str = "chunk_id", *ti
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def dense_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, part: int = 16384) -> DataFrame:
+def dense_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024, part: int = 16384, digits: int = DIGITS) -> DataFrame:
     """(qid, chunk_id, score, rank): the k vectors with the largest dot product.
 
     queries: (qid, vector); vectors: (chunk_id, vector).  Both sides are hashed
     into blocks of bounded size; each pair of blocks is one matrix product in one
     task, which keeps its own k best, so that only those are shuffled and ranked.
-    A vector is not its own neighbour.  Null vectors are left out."""
+    Scores are held to ``digits`` decimals before they are ranked.  A vector is not its
+    own neighbour.  Null vectors are left out."""
     q, v = queries.where(F.col("vector").isNotNull()), vectors.where(F.col("vector").isNotNull())
     n_blocks, n_parts = max(1, -(-q.count() // block)), max(1, -(-v.count() // part))
     left = q.select(F.col("qid").cast("string").alias("qid"), "vector", F.pmod(F.xxhash64("qid"), F.lit(n_blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("p"))
@@ -45,7 +46,7 @@ def dense_top(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024,
         ids = z["chunk_id"].to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, matrix = ids[order], np.stack(z["vector"].to_numpy()).astype(float)[order]
-        scores = np.round(np.stack(a["vector"].to_numpy()).astype(float) @ matrix.T, DIGITS)
+        scores = np.round(np.stack(a["vector"].to_numpy()).astype(float) @ matrix.T, digits)
         out = []
         for qid, row in zip(a["qid"], scores, strict=True):
             row = np.where(ids == qid, -np.inf, row)

@@ -228,9 +228,8 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest vectors of every vector whose id is divisible by 100."""
     e = table(spark, folder, "embeddings")
     vectors = e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    found = retrieval.dense_top(e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), vectors, _R.dense_k + 5)
-    rounded = found.select("qid", "chunk_id", F.round("score", 6).alias("score"))
-    return retrieval.top(rounded, _R.dense_k)
+    found = retrieval.dense_top(e.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), vectors, _R.dense_k, digits=6)
+    return found.select("qid", "chunk_id", "score", "rank")
 
 
 BM25 = f"""
@@ -543,12 +542,11 @@ def quota_label(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "human_grades").select("grade_id", fn.names_daily_limit(message).alias("daily"))
 
 
-@query("SELECT coalesce(split, 'none') AS split, count(DISTINCT qid) AS questions, count(DISTINCT qid) FILTER (WHERE coalesce(split, '') NOT LIKE 'holdout%') AS kept FROM holdout GROUP BY 1")
+@query("SELECT coalesce(split, 'none') AS split, count(DISTINCT qid) AS questions, count(DISTINCT qid) FILTER (WHERE coalesce(split, '') <> 'holdout') AS kept FROM holdout GROUP BY 1")
 def holdout_guard(spark: SparkSession, folder: str) -> DataFrame:
     """Questions by split, and how many calibration may use."""
     h = table(spark, folder, "holdout")
-    usable = ~F.startswith(F.coalesce("split", F.lit("")), F.lit("holdout"))
-    once = h.groupBy(F.coalesce("split", F.lit("none")).alias("split"), "qid").agg(F.max(usable.cast("int")).alias("usable"))
+    once = h.groupBy(F.coalesce("split", F.lit("none")).alias("split"), "qid").agg(F.max(metrics.usable_for_calibration(F.col("split")).cast("int")).alias("usable"))
     return once.groupBy("split").agg(F.count("qid").alias("questions"), F.sum("usable").alias("kept"))
 
 

@@ -152,6 +152,27 @@ def test_auroc_sweep_and_grid_against_plain_loops(spark):
     assert metrics.sweep(df.where("false")).isEmpty()
 
 
+def test_sweep_of_scores_closer_than_its_step(spark):
+    data = [(0.1000004, False), (0.1000006, True), (0.2, False), (0.5, True), (0.5000002, False), (None, True), (0.3, None)]
+    df = spark.createDataFrame(data, "score double, label boolean")
+    got = {r.tau: (r.false_answer_rate, r.over_refusal_rate, r.accuracy) for r in metrics.sweep(df).collect()}
+    some = [(s, y) for s, y in data if s is not None and y is not None]
+    taus = {0.0} | {round(s + 1e-6, 6) for s, _ in some}
+    want = {}
+    for tau in taus:
+        fa, fr = sum(s >= tau and not y for s, y in some), sum(s < tau and y for s, y in some)
+        want[tau] = (round(fa / 3, 4), round(fr / 2, 4), round((5 - fa - fr) / 5, 4))
+    assert got == want and got[0.100001][1] == 0.5
+
+
+def test_thirty_equal_scores_at_the_last_rank(spark):
+    vectors = [(f"v{i:02d}", [1.0, 1e-9 * i]) for i in range(30)] + [("w", [2.0, 0.0])]
+    df = spark.createDataFrame(vectors, "chunk_id string, vector array<double>")
+    ask = spark.createDataFrame([("q", [1.0, 1.0])], "qid string, vector array<double>")
+    got = retrieval.dense_top(ask, df, 4, part=7, digits=6).orderBy("rank").collect()
+    assert [r.chunk_id for r in got] == ["w", "v00", "v01", "v02"] and got[1].score == 1.0
+
+
 def test_grades_are_carried_only_if_unchanged(spark):
     now = spark.createDataFrame([("a", "x"), ("b", "new"), ("c", None)], "qid string, agent_answer string")
     old = spark.createDataFrame([("a", "x", "correct"), ("b", "old", "wrong"), ("c", "z", None)], "qid string, agent_answer string, grade string")
