@@ -165,3 +165,45 @@ def with_cache(asked: DataFrame, cache: DataFrame, provider: str) -> DataFrame:
 def upsert_cache(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The cache (key, reply, written_at) with newer replies in place of older ones."""
     return latest(cache.unionByName(new), "key", "written_at")
+
+
+CLAIMS = "array<struct<text:string,citations:array<string>,quote:string>>"
+
+
+def as_claims(made: DataFrame) -> DataFrame:
+    """Answers of one claim (qid, insufficient, claim, citations, generator) in the form
+    (qid, insufficient, generator, claims) that several claims take."""
+    one = F.array(F.struct(F.col("claim").alias("text"), "citations", F.lit(None).cast("string").alias("quote")))
+    return made.select("qid", "insufficient", "generator", F.when(F.col("claim").isNull(), F.expr(f"cast(array() as {CLAIMS})")).otherwise(one).alias("claims"))
+
+
+def from_replies(replies: DataFrame, reranked: DataFrame, passages: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, insufficient, generator, claims) from replies (qid, insufficient, generator,
+    claims): citations outside the question's passages are left out; questions without
+    a reply get the extractive answer."""
+    context = reranked.groupBy("qid").agg(F.collect_set("chunk_id").alias("known"))
+    asked = questions.select("qid").join(context, "qid", "left").withColumn("known", F.coalesce("known", F.expr("cast(array() as array<string>)")))
+    kept = F.transform("claims", lambda c: F.struct(c["text"].alias("text"), allowed_citations(c["citations"], F.col("known")).alias("citations"), c["quote"].alias("quote")))
+    given = replies.join(asked, "qid").select("qid", F.coalesce("insufficient", F.lit(False)).alias("insufficient"), "generator", kept.alias("claims"))
+    rest = questions.join(replies.select("qid"), "qid", "left_anti")
+    return given.unionByName(as_claims(extractive(rest, reranked, passages)))
+
+
+def ground(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """The claims (claim_id, quote, citations, ...) with ``is_grounded``."""
+    held = cited(claims, passages)
+    return held.withColumn("is_grounded", grounded(F.col("quote"), F.col("cited"))).drop("cited")
+
+
+def missing_citations(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, claims): cited passages that do not exist, and how many claims cite them."""
+    each = claims.select("claim_id", F.explode("citations").alias("chunk_id"))
+    lost = each.join(chunks.select("chunk_id"), "chunk_id", "left_anti")
+    return lost.groupBy("chunk_id").agg(F.countDistinct("claim_id").alias("claims"))
+
+
+def verdict_by_text(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """claims (claim, ...) with supported and score of the verdict on the same text; of
+    several verdicts on one text that of the greatest claim_id."""
+    last = verdicts.where(F.col("claim").isNotNull()).groupBy("claim").agg(F.max_by(F.struct("supported", "score"), "claim_id").alias("v"))
+    return claims.join(last.select("claim", "v.supported", "v.score"), "claim")

@@ -201,5 +201,58 @@ def carried_grades(answers: DataFrame, graded: DataFrame) -> DataFrame:
 
 def generator_mix(answers: DataFrame, *by: str) -> DataFrame:
     """(generator, n, synthetic): answers by generator, and whether no model made them."""
-    synthetic = F.startswith("generator", F.lit("extractive-fallback")) | F.col("generator").isin("cache", "none", "unknown")
-    return answers.groupBy(*by, "generator").agg(F.count("*").alias("n")).withColumn("synthetic", synthetic)
+    return answers.groupBy(*by, "generator").agg(F.count("*").alias("n")).withColumn("synthetic", is_synthetic(F.col("generator")))
+
+
+def is_synthetic(generator: Column) -> Column:
+    """Whether no model made an answer just now."""
+    return F.startswith(generator, F.lit("extractive-fallback")) | generator.isin("cache", "none", "unknown")
+
+
+def model_answers(records: DataFrame, *by: str) -> DataFrame:
+    """(model_answers): answers that models made, with cached ones apart, of all made."""
+    made, cached = F.col("generator").isNotNull(), F.col("generator") == "cache"
+    counts = records.groupBy(*by).agg(F.count_if(made & ~is_synthetic(F.col("generator"))).alias("r"), F.count_if(made & cached).alias("c"), F.count_if(made).alias("t"))
+    text = F.when(F.col("c") > 0, F.format_string("%d+%dc/%d", "r", "c", "t")).otherwise(F.format_string("%d/%d", "r", "t"))
+    return counts.select(*by, text.alias("model_answers"))
+
+
+def generator_warning(mix: DataFrame) -> DataFrame:
+    """(answers, synthetic, models, mixed) from (generator, n, synthetic): answers that no
+    model made, and whether several models made the others."""
+    sums = mix.agg(F.sum("n").alias("answers"), F.coalesce(F.sum(F.when(F.col("synthetic"), F.col("n"))), F.lit(0)).alias("synthetic"), F.count_if(~F.col("synthetic")).alias("models"))
+    return sums.withColumn("mixed", F.col("models") > 1)
+
+
+def separability(scored: DataFrame) -> DataFrame:
+    """Count, least and greatest score of each class, and whether one threshold parts them;
+    not separable where a class is empty."""
+    yes, no = F.col("label"), ~F.col("label")
+    pick = lambda when: F.when(when, F.col("score"))
+    return scored.agg(
+        F.count_if(yes).alias("n_answerable"), F.round(F.min(pick(yes)), 6).alias("min_answerable"), F.round(F.max(pick(yes)), 6).alias("max_answerable"),
+        F.count_if(no).alias("n_unanswerable"), F.round(F.min(pick(no)), 6).alias("min_unanswerable"), F.round(F.max(pick(no)), 6).alias("max_unanswerable"),
+        F.coalesce(F.min(pick(yes)) > F.max(pick(no)), F.lit(False)).alias("separable"),
+    )
+
+
+def best_tau(rates: DataFrame) -> DataFrame:
+    """(best_tau): the lowest threshold of best accuracy."""
+    best = rates.agg(F.min(F.struct((-F.col("accuracy")).alias("a"), "tau")).alias("b"))
+    return best.where("b is not null").select(F.round("b.tau", 4).alias("best_tau"))
+
+
+def grade_gap(graded: DataFrame, least: float = 0.25) -> DataFrame:
+    """(gap, separates): mean token recall of correct less that of wrong answers; null
+    where either has none."""
+    recall = token_recall(F.coalesce("gold_answer", F.lit("")), F.coalesce("agent_answer", F.lit("")))
+    gap = graded.agg((F.avg(F.when(F.col("grade") == "correct", recall)) - F.avg(F.when(F.col("grade") == "wrong", recall))).alias("g"))
+    return gap.select(F.round("g", 4).alias("gap"), (F.col("g") >= least).alias("separates"))
+
+
+def checked_grades(graded: DataFrame) -> DataFrame:
+    """The graded rows, if every grade is known; else an error that names some of the rest."""
+    unknown = graded.where(F.col("grade").isNotNull() & ~F.col("grade").isin(*GRADES)).select("qid").distinct().limit(20).collect()
+    if unknown:
+        raise ValueError("unknown grades for " + ", ".join(sorted(str(r.qid) for r in unknown)))
+    return graded

@@ -1,89 +1,121 @@
 """The whole flow for a batch of questions, and its ablations.
 
-retrieve -> fuse -> rerank -> gate A -> answer -> verify -> gate B, each stage a
-DataFrame.  Questions that gate A stops never reach the answering stage."""
+retrieve -> fuse -> rerank -> gate A -> answer -> ground -> verify -> gate B -> prune,
+each stage a DataFrame.  Questions that gate A stops never reach the answering stage."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.text import trace_stem
 from ..operators import answers, metrics, retrieval
 from ..operators.lineage import checkpointed
 
 #: Settings of the ablations, each adding a stage to the one before.
 VARIANTS: dict[str, dict[str, bool]] = {
-    "retrieval": {"rerank.enabled": False, "verify.enabled": False, "abstain.gate_a": False, "abstain.gate_b": False},
-    "rerank": {"rerank.enabled": True, "verify.enabled": False, "abstain.gate_a": False, "abstain.gate_b": False},
-    "rerank_gate_a": {"rerank.enabled": True, "verify.enabled": False, "abstain.gate_a": True, "abstain.gate_b": False},
-    "full": {"rerank.enabled": True, "verify.enabled": True, "abstain.gate_a": True, "abstain.gate_b": True},
+    "dense": {"retrieval.hybrid": False, "rerank.enabled": False, "verify.enabled": False, "abstain.gate_a": False, "abstain.gate_b": False},
+    "hybrid": {"retrieval.hybrid": True, "rerank.enabled": False, "verify.enabled": False, "abstain.gate_a": False, "abstain.gate_b": False},
+    "rerank_gate_a": {"retrieval.hybrid": True, "rerank.enabled": True, "verify.enabled": False, "abstain.gate_a": True, "abstain.gate_b": False},
+    "full": {"retrieval.hybrid": True, "rerank.enabled": True, "verify.enabled": True, "abstain.gate_a": True, "abstain.gate_b": True},
 }
 
+#: Answers (qid, insufficient, generator, claims) to questions, from their reranked passages.
+Generator = Callable[[DataFrame, DataFrame, DataFrame], DataFrame]
+
 
 @dataclass(frozen=True)
 class Rankings:
     """Candidates of the questions, shared by all variants."""
 
+    dense: DataFrame
     lexical: DataFrame
-    fused: DataFrame
+
+    def fused(self, config: Config) -> DataFrame:
+        """Both rankings fused; without hybrid search the dense one alone."""
+        lexical = self.lexical if config.retrieval.hybrid else self.lexical.where("false")
+        return retrieval.fuse(self.dense, lexical, config.retrieval.rrf_k)
 
 
 @dataclass(frozen=True)
 class Outcome:
+    rankings: Rankings
+    fused: DataFrame
     reranked: DataFrame
     gate_a: DataFrame
     answers: DataFrame
-    verdicts: DataFrame
+    claims: DataFrame  # (qid, pos, claim, quote, citations, is_grounded)
+    verdicts: DataFrame  # of the grounded claims
     records: DataFrame
 
 
 def rank(questions: DataFrame, passages: DataFrame, config: Config, dense: DataFrame | None = None) -> Rankings:
-    """Lexical candidates, fused with a dense ranking (qid, chunk_id, rank) if one
-    is given; switched off hybrid search ranks by the dense ranking alone."""
-    lexical = checkpointed(retrieval.bm25_top(questions, passages, config.retrieval.bm25_k))
-    none = lexical.select("qid", "chunk_id", "rank").where("false")
-    use_dense = none if dense is None else dense
-    use_lexical = lexical if config.retrieval.hybrid or dense is None else none
-    return Rankings(lexical, retrieval.fuse(use_dense, use_lexical, config.retrieval.rrf_k))
+    """Dense and lexical candidates.  A dense ranking (qid, chunk_id, rank) of a trained
+    encoder may be given; else terms hashed into vectors stand in for it."""
+    if dense is None:
+        vector = lambda df, key, text: df.select(F.col(key), retrieval.term_vector(F.col(text)).alias("vector"))
+        dense = retrieval.dense_top(vector(questions, "qid", "question"), vector(passages, "chunk_id", "text"), config.retrieval.dense_k, digits=6)
+    lexical = retrieval.bm25_top(questions, passages, config.retrieval.bm25_k)
+    return Rankings(checkpointed(dense), checkpointed(lexical))
+
+
+def extractive(questions: DataFrame, reranked: DataFrame, passages: DataFrame) -> DataFrame:
+    """The default generator: the best passage."""
+    return answers.as_claims(answers.extractive(questions, reranked, passages))
 
 
-def answer(questions: DataFrame, passages: DataFrame, rankings: Rankings, config: Config) -> Outcome:
-    """questions: (qid, question, is_answerable, gold_answer, gold_chunk_ids, bucket)."""
+def answer(questions: DataFrame, passages: DataFrame, rankings: Rankings, config: Config, generator: Generator = extractive) -> Outcome:
+    """questions: (qid, question, is_answerable, gold_answer, gold_chunk_ids, bucket).
+
+    Claims whose quote stands in none of their passages are dropped before they are
+    verified; claims that are not supported are dropped once gate B lets the answer
+    through."""
     c = config
-    reranked = checkpointed(retrieval.rerank(rankings.fused, questions, passages, c.retrieval.final_k, enabled=c.rerank.enabled))
+    fused = rankings.fused(config)
+    reranked = checkpointed(retrieval.rerank(fused, questions, passages, c.retrieval.final_k, enabled=c.rerank.enabled))
     first = answers.gate_a(questions, reranked, c.abstain.min_rerank_score, c.abstain.gate_a)
     through = questions.join(first.where("not abstained").select("qid"), "qid", "left_semi")
-    made = answers.extractive(through, reranked, passages)
-    claims = made.where("claim is not null").select(F.col("qid").alias("claim_id"), "claim", F.lit(None).cast("string").alias("quote"), "citations")
-    verdicts = answers.verify(claims, passages, c.verify.support_threshold, c.verify.premise_window_chars, c.verify.enabled).withColumnRenamed("claim_id", "answer_id")
-    second = answers.gate_b(made.select(F.col("qid").alias("answer_id"), "insufficient"), verdicts, c.abstain.min_supported_claims, c.abstain.gate_b)
+    made = checkpointed(generator(through, reranked, passages))
+    each = made.select("qid", F.posexplode("claims").alias("pos", "c")).select(F.concat_ws("#", "qid", "pos").alias("claim_id"), "qid", "pos", F.col("c.text").alias("claim"), F.col("c.quote").alias("quote"), F.col("c.citations").alias("citations"))
+    claims = checkpointed(answers.ground(each, passages))
+    grounded = claims.where("is_grounded").drop("is_grounded")
+    verdicts = checkpointed(answers.verify(grounded, passages, c.verify.support_threshold, c.verify.premise_window_chars, c.verify.enabled))
+    second = answers.gate_b(made.select(F.col("qid").alias("answer_id"), "insufficient"), verdicts.withColumnRenamed("qid", "answer_id"), c.abstain.min_supported_claims, c.abstain.gate_b)
     context = reranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("c")).select("qid", F.col("c.chunk_id").alias("context"))
+    kept = verdicts.where("supported").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "claim", "citations"))).alias("k"))
+    lost = verdicts.where("not supported").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "claim"))).alias("d"))
     none = F.expr("cast(array() as array<string>)")
     joined = (
-        questions.join(first.select("qid", "signal", F.col("abstained").alias("at_a")), "qid")
+        questions.join(first.select("qid", "n_passages", "signal", F.col("abstained").alias("at_a")), "qid")
         .join(second.select(F.col("answer_id").alias("qid"), F.col("abstained").alias("at_b")), "qid", "left")
-        .join(made.select("qid", "claim", "citations", "generator"), "qid", "left")
-        .join(context, "qid", "left")
-    )
+        .join(made.select("qid", "generator"), "qid", "left").join(kept, "qid", "left").join(lost, "qid", "left").join(context, "qid", "left")
+    )
     out = F.col("at_a") | F.coalesce("at_b", F.lit(False))
+    reason = F.when(F.col("n_passages") == 0, "no_candidates").when(F.col("at_a"), "gate_a").when(F.col("at_b"), "gate_b")
     records = joined.select(
-        "qid", "bucket", "is_answerable", "gold_answer", F.coalesce("gold_chunk_ids", none).alias("gold_chunk_ids"), "signal", out.alias("abstained"),
-        F.when(F.col("at_a"), "gate_a").when(F.col("at_b"), "gate_b").alias("abstain_reason"),
-        F.when(out, none).otherwise(F.array_sort(F.array_distinct(F.coalesce("citations", none)))).alias("predicted_chunk_ids"),
-        F.when(out, F.lit("")).otherwise(F.coalesce("claim", F.lit(""))).alias("answer_text"), F.coalesce("context", none).alias("context"), "generator",
+        "qid", "bucket", F.coalesce("is_answerable", F.lit(False)).alias("is_answerable"), "gold_answer", F.coalesce("gold_chunk_ids", none).alias("gold_chunk_ids"), "signal", out.alias("abstained"), reason.alias("abstain_reason"),
+        F.when(out, none).otherwise(F.array_sort(F.array_distinct(F.flatten(F.coalesce("k.citations", F.expr("cast(array() as array<array<string>>)")))))).alias("predicted_chunk_ids"),
+        F.when(out, F.lit("")).otherwise(F.array_join(F.coalesce("k.claim", none), " ")).alias("answer_text"), F.coalesce("context", none).alias("context"), "generator",
+        F.when(out, none).otherwise(F.coalesce("d.claim", none)).alias("dropped_claims"),
     )
-    return Outcome(reranked, first, made, verdicts, records)
+    return Outcome(rankings, fused, reranked, first, made, claims, verdicts, records)
 
 
-def ladder(questions: DataFrame, passages: DataFrame, config: Config, dense: DataFrame | None = None) -> DataFrame:
-    """Records of every variant, with the variant's name."""
+def ladder(questions: DataFrame, passages: DataFrame, config: Config, dense: DataFrame | None = None, generator: Generator = extractive) -> dict[str, Outcome]:
+    """The outcome of every variant, by its name."""
     rankings = rank(questions, passages, config, dense)
+    return {name: answer(questions, passages, rankings, config.with_overrides(settings), generator) for name, settings in VARIANTS.items()}
+
+
+def ladder_records(outcomes: dict[str, Outcome]) -> DataFrame:
+    """Records of every variant, with the variant's name."""
     out = None
-    for name, settings in VARIANTS.items():
-        records = checkpointed(answer(questions, passages, rankings, config.with_overrides(settings)).records).withColumn("variant", F.lit(name))
+    for name, o in outcomes.items():
+        records = checkpointed(o.records).withColumn("variant", F.lit(name))
         out = records if out is None else out.unionByName(records)
     return out
 
@@ -95,6 +127,7 @@ def ladder_report(records: DataFrame) -> DataFrame:
         metrics.citation_scores(records, "variant").select("variant", "precision", "recall", "f1"),
         metrics.retrieval_scores(records, "variant").select("variant", "recall_at_k", "mrr"),
         metrics.answer_recall(records, "variant").select("variant", "mean_token_recall"),
+        metrics.model_answers(records, "variant"),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -102,11 +135,44 @@ def ladder_report(records: DataFrame) -> DataFrame:
     return out
 
 
+def trace_fields(questions: DataFrame, outcome: Outcome) -> DataFrame:
+    """What happened to each question, one column a field, lists in their order."""
+
+    def listed(df: DataFrame, order: str, item: str, name: str) -> DataFrame:
+        lists = df.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(order, item))).alias("l"))
+        return lists.select("qid", F.col(f"l.{item}").alias(name))
+
+    scored = lambda df: df.withColumn("item", F.struct("chunk_id", F.round("score", 6).alias("score")))
+    o = outcome
+    verdict = o.verdicts.withColumn("item", F.struct(F.col("claim").alias("claim_text"), "citations", "supported", F.round("score", 6).alias("score"), "precise_citations"))
+    parts = [
+        listed(o.rankings.dense, "rank", "chunk_id", "dense_candidates"), listed(o.rankings.lexical, "rank", "chunk_id", "bm25_candidates"), listed(scored(o.fused), "rank", "item", "rrf_fused"),
+        listed(scored(o.reranked), "rank", "item", "reranked"), listed(verdict, "pos", "item", "verdicts"), listed(o.claims.where("not is_grounded"), "pos", "quote", "ungrounded_quotes"),
+    ]
+    out = questions.select("qid", "question").join(o.records.select("qid", F.col("context").alias("context_injected"), "abstained", "abstain_reason", "answer_text", "predicted_chunk_ids", "generator", "dropped_claims"), "qid")
+    for p in parts:
+        out = out.join(p, "qid", "left")
+    return out
+
+
 def traces(questions: DataFrame, outcome: Outcome) -> DataFrame:
     """(stem, trace): what happened to each question, as JSON."""
-    from ..functions.text import trace_stem
+    fields = trace_fields(questions, outcome)
+    return fields.select(trace_stem(F.col("qid"), F.col("question")).alias("stem"), F.to_json(F.struct(*fields.columns)).alias("trace"))
+
+
+def grade_sheet(records: DataFrame, questions: DataFrame, graded: DataFrame) -> DataFrame:
+    """(qid, question, gold_answer, agent_answer, grade, outcome): the answers that a
+    person can grade, of answerable questions with a reference answer; a question whose
+    text is not among questions (qid, question) gets a stand-in; earlier grades are
+    carried over where the answer is unchanged and reset otherwise."""
+    some = records.where("is_answerable and not abstained and coalesce(gold_answer, '') <> ''")
+    rows = some.select("qid", "gold_answer", F.col("answer_text").alias("agent_answer"))
+    carried = metrics.carried_grades(rows.select("qid", "agent_answer"), graded).select("qid", "grade", "outcome")
+    text = F.coalesce("question", F.lit("(question text not found)")).alias("question")
+    return rows.join(questions.select("qid", "question"), "qid", "left").join(carried, "qid").select("qid", text, "gold_answer", "agent_answer", "grade", "outcome")
+
 
-    final = outcome.reranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))).alias("reranked"))
-    joined = questions.select("qid", "question").join(outcome.records, "qid").join(final, "qid", "left")
-    fields = F.struct("qid", "question", "reranked", "context", "signal", "abstained", "abstain_reason", "answer_text", "predicted_chunk_ids", "generator")
-    return joined.select(trace_stem(F.col("qid"), F.col("question")).alias("stem"), F.to_json(fields).alias("trace"))
+def signals(questions: DataFrame, outcome: Outcome) -> DataFrame:
+    """(score, label): the retrieval signal of each question and whether it can be answered."""
+    return questions.select("qid", F.coalesce("is_answerable", F.lit(False)).alias("label")).join(outcome.gate_a.select("qid", F.col("signal").alias("score")), "qid").select("qid", "score", "label")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as fn
 from ..operators import answers, chunking, metrics, retrieval
+from ..operators.lineage import checkpointed
 from ..sources.tables import table
 from . import flow
 
@@ -232,8 +233,12 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qid", "chunk_id", "score", "rank")
 
 
-BM25 = f"""
-p AS MATERIALIZED ({P}), q AS MATERIALIZED ({Q}),
+
+
+def candidates_sql(q: str) -> str:
+    """Dense and lexical candidates of the questions q, fused."""
+    return f"""
+p AS MATERIALIZED ({P}), q AS MATERIALIZED ({q}),
 terms AS MATERIALIZED (SELECT chunk_id, unnest({words_sql('lower(text)')}) AS term FROM p),
 post AS MATERIALIZED (SELECT chunk_id, term, count(*) AS tf FROM terms GROUP BY ALL),
 dl AS (SELECT chunk_id, len({words_sql('lower(text)')}) AS dl FROM p),
@@ -244,31 +249,52 @@ ask AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({words_sql(
 hits AS (SELECT qid, chunk_id, round(sum(times * idf * tf * {retrieval.K1 + 1} / (tf + {retrieval.K1} * (1 - {retrieval.B} + {retrieval.B} * dl / avgdl))), {retrieval.DIGITS}) AS score
   FROM ask JOIN idf USING (term) JOIN post USING (term) JOIN dl USING (chunk_id), stats GROUP BY qid, chunk_id),
 bm25 AS MATERIALIZED (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0) DESC, chunk_id) AS rank
-  FROM (SELECT qid, chunk_id FROM q, p) LEFT JOIN hits USING (qid, chunk_id)) WHERE rank <= {_R.bm25_k})"""
-FUSED = f"""{BM25},
-fused AS MATERIALIZED (SELECT qid, chunk_id, round(1 / ({_R.rrf_k} + rank), 12) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(1 / ({_R.rrf_k} + rank), 12) DESC, rank, chunk_id) AS rank FROM bm25)"""
-RERANKED = f"""{FUSED},
+  FROM (SELECT qid, chunk_id FROM q, p) LEFT JOIN hits USING (qid, chunk_id)) WHERE rank <= {_R.bm25_k}),
+pv AS MATERIALIZED (SELECT chunk_id, CAST('0x' || substring(md5(term), 1, 4) AS BIGINT) % {retrieval.DIMENSIONS} AS dim, count(*) AS n FROM post GROUP BY ALL),
+qv AS MATERIALIZED (SELECT qid, CAST('0x' || substring(md5(term), 1, 4) AS BIGINT) % {retrieval.DIMENSIONS} AS dim, count(*) AS n FROM ask GROUP BY ALL),
+pn AS (SELECT chunk_id, sum(n * n)::DOUBLE AS s FROM pv GROUP BY chunk_id), qn AS (SELECT qid, sum(n * n)::DOUBLE AS s FROM qv GROUP BY qid),
+near AS (SELECT qid, chunk_id, round(d / sqrt(qn.s * pn.s), {retrieval.DIGITS}) AS score FROM (SELECT qid, chunk_id, sum(qv.n * pv.n)::DOUBLE AS d FROM qv JOIN pv USING (dim) GROUP BY ALL) JOIN qn USING (qid) JOIN pn USING (chunk_id)),
+dense AS MATERIALIZED (SELECT qid, chunk_id, score, rank FROM (SELECT qid, chunk_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0) DESC, chunk_id) AS rank
+  FROM (SELECT qid, chunk_id FROM q, p) LEFT JOIN near USING (qid, chunk_id)) WHERE rank <= {_R.dense_k}),
+both_ranks AS (SELECT coalesce(d.qid, b.qid) AS qid, coalesce(d.chunk_id, b.chunk_id) AS chunk_id, d.rank AS dense_rank, b.rank AS lexical_rank, round(coalesce(1 / ({_R.rrf_k} + d.rank), 0) + coalesce(1 / ({_R.rrf_k} + b.rank), 0), 12) AS score
+  FROM dense d FULL OUTER JOIN bm25 b ON d.qid = b.qid AND d.chunk_id = b.chunk_id),
+fused AS MATERIALIZED (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST, chunk_id) AS rank FROM both_ranks)"""
+
+
+def reranked_sql(q: str) -> str:
+    return f"""{candidates_sql(q)},
 pair AS MATERIALIZED (SELECT f.qid, f.chunk_id, f.rank AS fused_rank, {overlap_sql('p.text', 'q.question')} AS raw FROM fused f JOIN q USING (qid) JOIN p USING (chunk_id)),
 reranked AS MATERIALIZED (SELECT qid, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fused_rank, chunk_id) AS rank FROM (SELECT qid, chunk_id, fused_rank, round(raw, {retrieval.DIGITS}) AS score FROM pair)) WHERE rank <= {_R.final_k})"""
 
 
+FUSED, RERANKED = candidates_sql(Q), reranked_sql(Q)
+
+
 def _rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, flow.Rankings]:
-    q, p = asked(spark, folder), passages(spark, folder)
+    q, p = asked(spark, folder), checkpointed(passages(spark, folder))  # read by every stage
     return q, p, flow.rank(q, p, Config())
 
 
 def _reranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q, p, r = _rankings(spark, folder)
-    return q, p, retrieval.rerank(r.fused, q, p, _R.final_k)
+    return q, p, retrieval.rerank(r.fused(Config()), q, p, _R.final_k)
 
 
-@query(f"WITH {BM25} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm25")
+@query(f"WITH {FUSED} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Best passages of every hundredth gold question."""
     found = retrieval.bm25_top(asked(spark, folder), passages(spark, folder), _R.bm25_k)
     return found.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"WITH {FUSED} SELECT 'dense' AS search, qid, chunk_id, rank FROM dense UNION ALL SELECT 'hybrid', qid, chunk_id, rank FROM fused")
+def hybrid_vs_dense_only(spark: SparkSession, folder: str) -> DataFrame:
+    """Ranking of hybrid search beside that of the dense vectors alone."""
+    _, _, r = _rankings(spark, folder)
+    one = r.fused(Config().with_overrides({"retrieval.hybrid": False})).select(F.lit("dense").alias("search"), "qid", "chunk_id", "rank")
+    return one.unionByName(r.fused(Config()).select(F.lit("hybrid").alias("search"), "qid", "chunk_id", "rank"))
+
+
 _RRF = f"""a AS (SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, CAST(b.vec_id AS VARCHAR)) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0) WHERE rank <= {_R.dense_k}),
 b AS (SELECT * FROM (SELECT a.vec_id AS qid, b.vec_id AS chunk_id, row_number() OVER (PARTITION BY a.vec_id ORDER BY (a.label = b.label) DESC, CAST(b.vec_id AS VARCHAR)) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0) WHERE rank <= {_R.bm25_k}),
 f AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.rank AS dense_rank, b.rank AS lexical_rank, round(coalesce(1 / ({_R.rrf_k} + a.rank), 0) + coalesce(1 / ({_R.rrf_k} + b.rank), 0), 12) AS score FROM a FULL OUTER JOIN b ON a.qid = b.qid AND a.chunk_id = b.chunk_id)"""
@@ -310,13 +336,13 @@ def rerank_sigmoid(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("qid", "chunk_id", F.round(F.when(outside, fn.sigmoid(F.col("score"))).otherwise(F.col("score")), 6).alias("score"))
 
 
-@query(f"""WITH {RERANKED}, ids AS (SELECT qid, chunk_id FROM bm25 UNION SELECT qid, chunk_id FROM fused UNION SELECT qid, chunk_id FROM reranked)
-  SELECT qid, chunk_id, CAST(NULL AS INTEGER) AS dense_rank, CAST(b.rank AS INTEGER) AS lexical_rank, CAST(f.rank AS INTEGER) AS fused_rank, CAST(r.rank AS INTEGER) AS final_rank FROM ids LEFT JOIN bm25 b USING (qid, chunk_id) LEFT JOIN fused f USING (qid, chunk_id) LEFT JOIN reranked r USING (qid, chunk_id)""")
+@query(f"""WITH {RERANKED}, ids AS (SELECT qid, chunk_id FROM fused UNION SELECT qid, chunk_id FROM reranked)
+  SELECT qid, chunk_id, CAST(d.rank AS INTEGER) AS dense_rank, CAST(b.rank AS INTEGER) AS lexical_rank, CAST(f.rank AS INTEGER) AS fused_rank, CAST(r.rank AS INTEGER) AS final_rank FROM ids LEFT JOIN dense d USING (qid, chunk_id) LEFT JOIN bm25 b USING (qid, chunk_id) LEFT JOIN fused f USING (qid, chunk_id) LEFT JOIN reranked r USING (qid, chunk_id)""")
 def stage_anatomy(spark: SparkSession, folder: str) -> DataFrame:
     """Where each stage ranked each passage."""
     q, p, r = _rankings(spark, folder)
-    none = r.lexical.where("false")
-    return retrieval.anatomy(none, r.lexical, r.fused, retrieval.rerank(r.fused, q, p, _R.final_k))
+    fused = r.fused(Config())
+    return retrieval.anatomy(r.dense, r.lexical, fused, retrieval.rerank(fused, q, p, _R.final_k))
 
 
 # ---- answers, gates ------------------------------------------------------
@@ -559,39 +585,86 @@ def question_map(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- the whole flow ------------------------------------------------------
 
-RECORDS = f"""{RERANKED},
-sig AS (SELECT q.qid, coalesce(max(r.score), 0) AS signal, count(r.chunk_id) AS n FROM q LEFT JOIN reranked r USING (qid) GROUP BY q.qid),
-ctx AS (SELECT qid, list(chunk_id ORDER BY rank) AS context, list(score ORDER BY rank)[1] AS best FROM reranked GROUP BY qid),
-flat AS (SELECT qid, list(chunk_id ORDER BY rank) AS context FROM fused WHERE rank <= {_R.final_k} GROUP BY qid),
-full_records AS (SELECT q.qid, q.bucket, coalesce(q.is_answerable, false) AS is_answerable, q.gold_answer, coalesce(q.gold_chunk_ids, []) AS gold, s.n = 0 OR s.signal < {_A.min_rerank_score} AS low, coalesce(c.context, []) AS context, coalesce(f.context, []) AS flat FROM q JOIN sig s USING (qid) LEFT JOIN ctx c USING (qid) LEFT JOIN flat f USING (qid)),
-variants AS (SELECT 'retrieval' AS variant, qid, bucket, is_answerable, gold_answer, gold, len(flat) = 0 AS abstained, flat AS context FROM full_records
-  UNION ALL SELECT 'rerank', qid, bucket, is_answerable, gold_answer, gold, len(context) = 0, context FROM full_records
-  UNION ALL SELECT 'rerank_gate_a', qid, bucket, is_answerable, gold_answer, gold, low, context FROM full_records
-  UNION ALL SELECT 'full', qid, bucket, is_answerable, gold_answer, gold, low, context FROM full_records),
-recs AS MATERIALIZED (SELECT v.*, CASE WHEN abstained OR len(v.context) = 0 THEN [] ELSE [v.context[1]] END AS said, CASE WHEN abstained THEN '' ELSE coalesce(p.text, '') END AS answer FROM variants v LEFT JOIN p ON p.chunk_id = v.context[1])"""
 
 
-def _ladder(spark: SparkSession, folder: str) -> DataFrame:
-    return flow.ladder(asked(spark, folder), passages(spark, folder), Config())
+def recorded(grades: DataFrame) -> flow.Generator:
+    """The recorded answers as a generator: a claim for each sentence, which cites the two
+    best passages and quotes what it sets in backticks."""
+    some = grades.where("agent_answer is not null and qid is not null").select("qid", "graded_at", "grade_id", "agent_answer")
+    last = answers.latest(some, "qid", "graded_at")
+    sentences = F.filter(F.transform(F.split(F.regexp_replace("agent_answer", f"([.!?])[{W}]+", F.lit(f"$1{chunking.CUT}")), chunking.CUT), fn.strip), lambda s: s != "")
+
+    def generate(questions: DataFrame, reranked: DataFrame, passages: DataFrame) -> DataFrame:
+        best = reranked.where("rank <= 2").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("b")).select("qid", F.col("b.chunk_id").alias("best"))
+        claim = lambda s: F.struct(s.alias("text"), F.col("best").alias("citations"), F.nullif(F.regexp_extract(s, "`([^`]+)`", 1), F.lit("")).alias("quote"))
+        made = last.join(best, "qid").select("qid", F.lit(False).alias("insufficient"), F.lit("recorded").alias("generator"), F.transform(sentences, claim).alias("claims"))
+        return answers.from_replies(made, reranked, passages, questions)
+
+    return generate
+
+
+_HELD = "list_transform(cited, lambda x: x.text)"
+_TEST = f"CASE WHEN len(cited) = 0 OR {strip_sql('premise')} = '' OR {strip_sql("coalesce(claim, '')")} = '' THEN 0 ELSE round({overlap_sql('premise', 'claim')}, 9) END"
+RECORDS = f"""{reranked_sql(G)},
+context AS MATERIALIZED (SELECT 'dense' AS variant, qid, list(chunk_id ORDER BY rank) AS context, 1.0::DOUBLE AS signal FROM dense WHERE rank <= {_R.final_k} GROUP BY qid
+  UNION ALL SELECT 'hybrid', qid, list(chunk_id ORDER BY rank), 1.0 FROM fused WHERE rank <= {_R.final_k} GROUP BY qid
+  UNION ALL SELECT v, qid, list(chunk_id ORDER BY rank), max(score) FROM reranked, (SELECT unnest(['rerank_gate_a', 'full']) AS v) GROUP BY v, qid),
+each_q AS MATERIALIZED (SELECT v AS variant, q.*, coalesce(c.context, []) AS context, coalesce(c.signal, 0) AS signal, c.qid IS NULL OR v IN ('rerank_gate_a', 'full') AND c.signal < {_A.min_rerank_score} AS at_a
+  FROM q CROSS JOIN (SELECT unnest(['dense', 'hybrid', 'rerank_gate_a', 'full']) AS v) LEFT JOIN context c ON c.variant = v AND c.qid = q.qid),
+replies AS (SELECT qid, list_filter(list_transform(string_split(regexp_replace(agent_answer, {lit(f'([.!?])[{W}]+')}, '\\1{_CUT}', 'g'), '{_CUT}'), lambda s: {strip_sql('s')}), lambda s: s <> '') AS said
+  FROM ({latest_sql('human_grades', 'qid', 'graded_at', ['grade_id', 'agent_answer'], 'WHERE agent_answer IS NOT NULL AND qid IS NOT NULL')})),
+made AS MATERIALIZED (SELECT e.variant, e.qid, CASE WHEN r.qid IS NULL THEN 'extractive-fallback' ELSE 'recorded' END AS generator, CASE WHEN r.qid IS NULL THEN [p.text] ELSE r.said END AS said, CASE WHEN r.qid IS NULL THEN e.context[1:1] ELSE e.context[1:2] END AS citations, r.qid IS NULL AS plain
+  FROM each_q e LEFT JOIN replies r ON r.qid = e.qid LEFT JOIN p ON p.chunk_id = e.context[1] WHERE NOT e.at_a),
+spoken AS MATERIALIZED (SELECT variant || '|' || qid || '#' || (pos - 1) AS claim_id, variant, qid, pos, claim, citations, CASE WHEN plain THEN NULL ELSE nullif(regexp_extract(claim, '`([^`]+)`', 1), '') END AS quote
+  FROM (SELECT variant, qid, citations, plain, unnest(said) AS claim, generate_subscripts(said, 1) AS pos FROM made)),
+cites AS (SELECT claim_id, unnest(citations) AS chunk_id, generate_subscripts(citations, 1) AS n FROM spoken),
+listed AS (SELECT claim_id, list(struct_pack(chunk_id := e.chunk_id, doc_id := p.doc_id, doc_title := p.doc_title, text := p.text) ORDER BY n) AS cited FROM cites e JOIN p USING (chunk_id) GROUP BY claim_id),
+held AS MATERIALIZED (SELECT s.*, coalesce(l.cited, []) AS cited FROM spoken s LEFT JOIN listed l USING (claim_id)),
+claims AS MATERIALIZED (SELECT *, coalesce(quote, '') = '' OR contains(array_to_string(list_transform(cited, lambda x: lower({span_sql('x.text')})), ' '), lower({span_sql('quote')})) AS is_grounded FROM held),
+whole AS MATERIALIZED (SELECT *, {_TEST} AS score FROM (SELECT *, {_PREMISE} AS premise FROM claims WHERE is_grounded AND variant = 'full')),
+fewer AS (SELECT claim_id, cid, n, {_TEST} AS score FROM (SELECT *, {_PREMISE} AS premise FROM (SELECT claim_id, claim, quote, cid, n, list_filter(cited, lambda z: z.chunk_id <> cid) AS cited FROM (SELECT claim_id, claim, quote, cited, unnest(citations) AS cid, generate_subscripts(citations, 1) AS n FROM whole WHERE score >= {_V.support_threshold})))),
+verdict AS MATERIALIZED (SELECT w.variant, w.qid, w.pos, w.claim, w.citations, round(w.score, 9) AS score, w.score >= {_V.support_threshold} AS supported, coalesce(n.precise, []) AS precise FROM whole w LEFT JOIN (SELECT claim_id, list(cid ORDER BY n) AS precise FROM fewer WHERE score < {_V.support_threshold} GROUP BY claim_id) n USING (claim_id)
+  UNION ALL SELECT variant, qid, pos, claim, citations, 1.0, true, citations FROM claims WHERE is_grounded AND variant <> 'full'),
+counted AS (SELECT variant, qid, count(*) FILTER (WHERE supported) AS n_supported, list_sort(list_distinct(flatten(list(citations) FILTER (WHERE supported)))) AS said, string_agg(claim, ' ' ORDER BY pos) FILTER (WHERE supported) AS answer, string_agg(claim, ' / ' ORDER BY pos) FILTER (WHERE NOT supported) AS dropped FROM verdict GROUP BY variant, qid),
+ends AS MATERIALIZED (SELECT e.*, NOT at_a AND variant = 'full' AND coalesce(n_supported, 0) < {_A.min_supported_claims} AS at_b, coalesce(c.said, []) AS all_said, coalesce(c.answer, '') AS all_answer, coalesce(c.dropped, '') AS all_dropped, m.generator FROM each_q e LEFT JOIN counted c USING (variant, qid) LEFT JOIN made m USING (variant, qid)),
+recs AS MATERIALIZED (SELECT variant, qid, question, bucket, coalesce(is_answerable, false) AS is_answerable, gold_answer, coalesce(gold_chunk_ids, []) AS gold, signal, context, generator, at_a OR at_b AS abstained, CASE WHEN len(context) = 0 THEN 'no_candidates' WHEN at_a THEN 'gate_a' WHEN at_b THEN 'gate_b' END AS reason,
+  CASE WHEN at_a OR at_b THEN [] ELSE all_said END AS said, CASE WHEN at_a OR at_b THEN '' ELSE all_answer END AS answer, CASE WHEN at_a OR at_b THEN '' ELSE all_dropped END AS dropped FROM ends)"""
+
+
+def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, flow.Generator]:
+    """All gold questions, the passages, and the recorded answers."""
+    return checkpointed(gold(spark, folder)), checkpointed(passages(spark, folder)), recorded(table(spark, folder, "human_grades"))
+
+
+_REAL = "generator NOT LIKE 'extractive-fallback%' AND generator NOT IN ('cache', 'none', 'unknown')"
 
 
 @query(f"""WITH {RECORDS},
-pr AS (SELECT variant, sum(len(list_intersect(list_distinct(said), list_distinct(gold)))) AS h, sum(len(list_distinct(said))) AS s, sum(len(list_distinct(gold))) AS g FROM recs WHERE is_answerable GROUP BY variant),
+pr AS (SELECT variant, sum(len(list_intersect(said, list_distinct(gold)))) AS h, sum(len(said)) AS s, sum(len(list_distinct(gold))) AS g FROM recs WHERE is_answerable GROUP BY variant),
 pf AS (SELECT variant, coalesce(h::DOUBLE / nullif(s, 0), 0) AS p, coalesce(h::DOUBLE / nullif(g, 0), 0) AS r FROM pr),
 rt AS (SELECT variant, round(avg((hit IS NOT NULL)::INT), 4) AS recall_at_k, round(avg(coalesce(1.0 / hit, 0)), 4) AS mrr FROM (SELECT variant, list_min(list_filter(list_transform(gold, lambda g: list_position(context, g)), lambda x: x > 0)) AS hit FROM recs WHERE is_answerable AND len(gold) > 0) GROUP BY variant),
 ar AS (SELECT variant, round(avg({recall_sql('gold_answer', 'answer')}), 4) AS mean_token_recall FROM recs WHERE is_answerable AND coalesce(gold_answer, '') <> '' GROUP BY variant),
+ma AS (SELECT variant, CASE WHEN count(*) FILTER (WHERE generator = 'cache') > 0 THEN printf('%d+%dc/%d', count(*) FILTER (WHERE {_REAL}), count(*) FILTER (WHERE generator = 'cache'), count(generator)) ELSE printf('%d/%d', count(*) FILTER (WHERE {_REAL}), count(generator)) END AS model_answers FROM recs GROUP BY variant),
 cm AS (SELECT variant, count(*) FILTER (WHERE is_answerable AND NOT abstained) AS ta, count(*) FILTER (WHERE NOT is_answerable AND NOT abstained) AS fa, count(*) FILTER (WHERE is_answerable AND abstained) AS fr, count(*) FILTER (WHERE NOT is_answerable AND abstained) AS tr FROM recs GROUP BY variant)
 SELECT cm.*, round((ta + tr)::DOUBLE / (ta + fa + fr + tr), 4) AS accuracy, round(coalesce(fa::DOUBLE / nullif(fa + tr, 0), 0), 4) AS false_answer_rate, round(coalesce(fr::DOUBLE / nullif(fr + ta, 0), 0), 4) AS over_refusal_rate,
-  round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, recall_at_k, mrr, mean_token_recall
-FROM cm LEFT JOIN pf USING (variant) LEFT JOIN rt USING (variant) LEFT JOIN ar USING (variant)""")
+  round(p, 4) AS precision, round(r, 4) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1, recall_at_k, mrr, mean_token_recall, model_answers
+FROM cm LEFT JOIN pf USING (variant) LEFT JOIN rt USING (variant) LEFT JOIN ar USING (variant) LEFT JOIN ma USING (variant)""")
 def ablation_ladder(spark: SparkSession, folder: str) -> DataFrame:
-    """Measures of the flow with one stage more each time."""
-    return flow.ladder_report(_ladder(spark, folder))
+    """Measures of the flow over all gold questions, with one stage more each time."""
+    q, p, generate = _whole(spark, folder)
+    return flow.ladder_report(flow.ladder_records(flow.ladder(q, p, Config(), generator=generate)))
 
 
 def _full(spark: SparkSession, folder: str) -> tuple[DataFrame, flow.Outcome]:
-    q, p, r = _rankings(spark, folder)
-    return q, flow.answer(q, p, r, Config())
+    q, p, generate = _whole(spark, folder)
+    return q, flow.answer(q, p, flow.rank(q, p, Config()), Config(), generate)
+
+
+@query(f"""WITH {RECORDS} SELECT qid, abstained, reason AS abstain_reason, answer AS answer_text, array_to_string(said, ' ') AS cited, dropped, generator FROM recs WHERE variant = 'full'""")
+def flow_records(spark: SparkSession, folder: str) -> DataFrame:
+    """The answer to each gold question, or why there is none."""
+    _, out = _full(spark, folder)
+    return out.records.select("qid", "abstained", "abstain_reason", "answer_text", F.array_join("predicted_chunk_ids", " ").alias("cited"), F.array_join("dropped_claims", " / ").alias("dropped"), "generator")
 
 
 @query(f"WITH {RECORDS} SELECT bucket, count(*) AS n, count(*) FILTER (WHERE abstained) AS abstained, count(*) FILTER (WHERE NOT abstained) AS answered FROM recs WHERE variant = 'full' GROUP BY bucket")
@@ -601,11 +674,11 @@ def abstention_confusion(spark: SparkSession, folder: str) -> DataFrame:
     return out.records.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("abstained").alias("abstained"), F.count_if(~F.col("abstained")).alias("answered"))
 
 
-@query(f"WITH {RECORDS} SELECT is_answerable, count(*) AS n, sum(len(list_intersect(list_distinct(said), list_distinct(gold)))) AS hits, sum(len(list_distinct(gold))) AS wanted FROM recs WHERE variant = 'full' GROUP BY is_answerable")
+@query(f"WITH {RECORDS} SELECT is_answerable, count(*) AS n, sum(len(list_intersect(said, list_distinct(gold)))) AS hits, sum(len(list_distinct(gold))) AS wanted FROM recs WHERE variant = 'full' GROUP BY is_answerable")
 def citation_prf(spark: SparkSession, folder: str) -> DataFrame:
     _, out = _full(spark, folder)
     said, want = F.array_distinct("predicted_chunk_ids"), F.array_distinct("gold_chunk_ids")
-    return out.records.groupBy(F.coalesce("is_answerable", F.lit(False)).alias("is_answerable")).agg(F.count("*").alias("n"), F.sum(F.size(F.array_intersect(said, want))).alias("hits"), F.sum(F.size(want)).alias("wanted"))
+    return out.records.groupBy("is_answerable").agg(F.count("*").alias("n"), F.sum(F.size(F.array_intersect(said, want))).alias("hits"), F.sum(F.size(want)).alias("wanted"))
 
 
 @query(f"WITH {RECORDS} SELECT qid, list_min(list_filter(list_transform(gold, lambda g: list_position(context, g)), lambda x: x > 0)) AS first_hit FROM recs WHERE variant = 'full' AND len(gold) > 0")
@@ -616,18 +689,124 @@ def retrieval_mrr(spark: SparkSession, folder: str) -> DataFrame:
     return out.records.where(F.size("gold_chunk_ids") > 0).select("qid", at.alias("first_hit"))
 
 
-@query(f"WITH {RECORDS} SELECT 'extractive-fallback' AS generator, count(*) AS n, true AS synthetic FROM recs WHERE variant = 'full' AND NOT abstained HAVING count(*) > 0")
+@query(f"WITH {RECORDS} SELECT generator, count(*) AS n, NOT ({_REAL}) AS synthetic FROM recs WHERE variant = 'full' AND generator IS NOT NULL GROUP BY generator")
 def generator_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Who made the answers."""
     _, out = _full(spark, folder)
     return metrics.generator_mix(out.answers)
 
 
-@query()
+@query(f"""WITH {RECORDS}, m AS (SELECT generator, count(*) AS n, {_REAL} AS real FROM recs WHERE variant = 'full' AND generator IS NOT NULL GROUP BY generator)
+  SELECT sum(n)::BIGINT AS answers, coalesce(sum(n) FILTER (WHERE NOT real), 0)::BIGINT AS synthetic, count(*) FILTER (WHERE real) AS models, count(*) FILTER (WHERE real) > 1 AS mixed FROM m""")
+def generator_warning(spark: SparkSession, folder: str) -> DataFrame:
+    """How many answers no model made, and whether several models did."""
+    return metrics.generator_warning(generator_mix(spark, folder))
+
+
+_TRACE_SQL = f"""WITH {RECORDS},
+l1 AS (SELECT qid, string_agg(chunk_id, ' ' ORDER BY rank) AS dense_candidates FROM dense GROUP BY qid), l2 AS (SELECT qid, string_agg(chunk_id, ' ' ORDER BY rank) AS bm25_candidates FROM bm25 GROUP BY qid),
+l3 AS (SELECT qid, string_agg(chunk_id || '=' || printf('%.6f', score), ' ' ORDER BY rank) AS rrf_fused FROM fused GROUP BY qid), l4 AS (SELECT qid, string_agg(chunk_id || '=' || printf('%.6f', score), ' ' ORDER BY rank) AS reranked FROM reranked GROUP BY qid),
+l5 AS (SELECT qid, string_agg(printf('%s|%s|%.6f|%s', claim, CASE WHEN supported THEN 'true' ELSE 'false' END, score, array_to_string(precise, ' ')), ' / ' ORDER BY pos) AS verdicts FROM verdict WHERE variant = 'full' GROUP BY qid),
+l6 AS (SELECT qid, string_agg(quote, ' / ' ORDER BY pos) AS ungrounded_quotes FROM claims WHERE variant = 'full' AND NOT is_grounded GROUP BY qid)
+SELECT regexp_replace(qid, '[^A-Za-z0-9_.-]', '_', 'g') AS stem, qid, question, coalesce(dense_candidates, '') AS dense_candidates, coalesce(bm25_candidates, '') AS bm25_candidates, coalesce(rrf_fused, '') AS rrf_fused, coalesce(reranked, '') AS reranked,
+  array_to_string(context, ' ') AS context_injected, coalesce(verdicts, '') AS verdicts, coalesce(ungrounded_quotes, '') AS ungrounded_quotes, dropped AS dropped_claims, answer AS answer_text, abstained, reason AS abstain_reason
+FROM recs LEFT JOIN l1 USING (qid) LEFT JOIN l2 USING (qid) LEFT JOIN l3 USING (qid) LEFT JOIN l4 USING (qid) LEFT JOIN l5 USING (qid) LEFT JOIN l6 USING (qid) WHERE variant = 'full'"""
+
+
+@query(_TRACE_SQL)
 def trace_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """A JSON trace of every question asked."""
+    """The trace of every gold question, its lists as text."""
     q, out = _full(spark, folder)
-    return flow.traces(q, out)
+    joined = lambda c, sep=" ": F.array_join(F.coalesce(c, F.expr("cast(array() as array<string>)")), sep)
+    scored = lambda c: joined(F.transform(c, lambda x: F.format_string("%s=%.6f", x["chunk_id"], x["score"])))
+    verdict = F.transform("verdicts", lambda v: F.format_string("%s|%s|%.6f|%s", v["claim_text"], v["supported"].cast("string"), v["score"], F.array_join(v["precise_citations"], " ")))
+    return flow.trace_fields(q, out).select(
+        fn.trace_stem(F.col("qid"), F.col("question")).alias("stem"), "qid", "question", joined(F.col("dense_candidates")).alias("dense_candidates"), joined(F.col("bm25_candidates")).alias("bm25_candidates"),
+        scored("rrf_fused").alias("rrf_fused"), scored("reranked").alias("reranked"), joined(F.col("context_injected")).alias("context_injected"), joined(verdict, " / ").alias("verdicts"),
+        joined(F.col("ungrounded_quotes"), " / ").alias("ungrounded_quotes"), joined(F.col("dropped_claims"), " / ").alias("dropped_claims"), "answer_text", "abstained", "abstain_reason",
+    )
+
+
+# ---- calibration on questions, grading, integrity -------------------------
+
+H = latest_sql("holdout", "qid", "added_at", ["question", "is_answerable", "gold_answer", "gold_chunk_ids", "bucket", "split"], "WHERE question IS NOT NULL")
+CALIBRATED = f"SELECT qid, question, is_answerable FROM ({G}) UNION ALL SELECT qid, question, is_answerable FROM ({H}) WHERE coalesce(split, '') <> 'holdout'"
+SIGNALS = f"{reranked_sql(CALIBRATED)}, s AS MATERIALIZED (SELECT q.qid, coalesce(is_answerable, false) AS label, coalesce(max(r.score), 0) AS score FROM q LEFT JOIN reranked r USING (qid) GROUP BY ALL)"
+
+
+def _signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieval signals of the questions that thresholds may be set on."""
+    columns = ["qid", "question", "is_answerable"]
+    held = answers.latest(table(spark, folder, "holdout").where("question is not null").select("qid", "added_at", "question", "is_answerable", "gold_answer", "gold_chunk_ids", "bucket", "split"), "qid", "added_at")
+    q = checkpointed(gold(spark, folder).select(*columns).unionByName(held.where(metrics.usable_for_calibration(F.col("split"))).select(*columns)))
+    p = checkpointed(passages(spark, folder))
+    reranked = retrieval.rerank(flow.rank(q, p, Config()).fused(Config()), q, p, _R.final_k)
+    signal = answers.gate_a(q, reranked, _A.min_rerank_score).select("qid", F.col("signal").alias("score"))
+    return q.select("qid", F.coalesce("is_answerable", F.lit(False)).alias("label")).join(signal, "qid")
+
+
+_CALIBRATE = _SWEEP.replace(_LABELLED, SIGNALS)
+
+
+@query(f"WITH {_CALIBRATE} SELECT * FROM rates")
+def calibration_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    """Thresholds of gate A over the questions not held out."""
+    return metrics.sweep(_signals(spark, folder))
+
+
+@query(f"""WITH {SIGNALS} SELECT count(*) FILTER (WHERE label) AS n_answerable, round(min(score) FILTER (WHERE label), 6) AS min_answerable, round(max(score) FILTER (WHERE label), 6) AS max_answerable,
+  count(*) FILTER (WHERE NOT label) AS n_unanswerable, round(min(score) FILTER (WHERE NOT label), 6) AS min_unanswerable, round(max(score) FILTER (WHERE NOT label), 6) AS max_unanswerable,
+  coalesce(min(score) FILTER (WHERE label) > max(score) FILTER (WHERE NOT label), false) AS separable FROM s""")
+def calibration_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of answerable and unanswerable questions, and whether one threshold parts them."""
+    return metrics.separability(_signals(spark, folder))
+
+
+@query(f"WITH {_SWEEP} SELECT round(tau, 4) AS best_tau FROM rates ORDER BY accuracy DESC, tau LIMIT 1")
+def verifier_best_tau(spark: SparkSession, folder: str) -> DataFrame:
+    """The lowest threshold of best accuracy on the verifier bench."""
+    return metrics.best_tau(metrics.sweep(_scored(spark, folder)))
+
+
+@query(f"WITH c AS ({C}), e AS (SELECT claim_id, unnest(citations) AS chunk_id FROM c) SELECT chunk_id, count(DISTINCT claim_id) AS claims FROM e WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE chunk_id IS NOT NULL) GROUP BY chunk_id")
+def bench_missing_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that the verifier bench cites but nobody delivered."""
+    return answers.missing_citations(claims(spark, folder), table(spark, folder, "chunks"))
+
+
+@query("SELECT qid FROM gold WHERE qid IS NOT NULL INTERSECT SELECT qid FROM holdout")
+def split_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Question ids in both the training and the evaluation splits; there should be none."""
+    return table(spark, folder, "gold").where("qid is not null").select("qid").intersect(table(spark, folder, "holdout").select("qid"))
+
+
+@query(f"""WITH {SCORED}, t AS (SELECT claim, verdict.* FROM verdict JOIN held USING (claim_id) WHERE claim IS NOT NULL), l AS (SELECT claim, arg_max(supported, claim_id) AS supported, round(arg_max(score, claim_id), 6) AS score FROM t GROUP BY claim)
+  SELECT vid, l.supported, l.score FROM (SELECT DISTINCT vid, claim FROM verifier_bench WHERE claim IS NOT NULL) JOIN l USING (claim)""")
+def verdict_by_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict of each claim by its text; of several claims of one text the last counts."""
+    shown = table(spark, folder, "verifier_bench").where("claim is not null").select("vid", "claim").distinct()
+    return answers.verdict_by_text(shown, _verdicts(spark, folder)).select("vid", "supported", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {RECORDS}, g AS (SELECT * FROM (SELECT qid, agent_answer AS old_answer, grade AS old_grade, row_number() OVER (PARTITION BY qid ORDER BY graded_at DESC NULLS LAST, grade_id DESC NULLS LAST, agent_answer DESC NULLS LAST, grade DESC NULLS LAST) AS k FROM human_grades WHERE grade IS NOT NULL AND qid IS NOT NULL) WHERE k = 1),
+  m AS (SELECT qid, question FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY added_at DESC NULLS LAST, question DESC) AS k FROM (SELECT qid, added_at, question FROM holdout WHERE question IS NOT NULL UNION ALL SELECT qid, added_at, question FROM gold WHERE question IS NOT NULL AND source IS NOT NULL)) WHERE k = 1)
+  SELECT r.qid, coalesce(m.question, '(question text not found)') AS question, gold_answer, answer AS agent_answer, CASE WHEN old_grade IS NOT NULL AND old_answer IS NOT DISTINCT FROM answer THEN old_grade END AS grade,
+    CASE WHEN old_grade IS NULL THEN 'ungraded' WHEN old_answer IS NOT DISTINCT FROM answer THEN 'carried' ELSE 'reset' END AS outcome
+  FROM recs r LEFT JOIN g USING (qid) LEFT JOIN m ON m.qid = r.qid WHERE variant = 'full' AND is_answerable AND NOT abstained AND coalesce(gold_answer, '') <> ''""")
+def grade_sheet(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers for a person to grade; questions are looked up in the sets whose source is known."""
+    _, out = _full(spark, folder)
+    known = table(spark, folder, "gold").where("source is not null").select("qid", "added_at", "question").unionByName(table(spark, folder, "holdout").select("qid", "added_at", "question"))
+    questions = answers.latest(known.where("question is not null"), "qid", "added_at")
+    h = table(spark, folder, "human_grades").where("grade is not null and qid is not null").select("qid", "graded_at", "grade_id", "agent_answer", "grade")
+    return flow.grade_sheet(out.records, questions, answers.latest(h, "qid", "graded_at"))
+
+
+@query(f"""WITH g AS (SELECT avg({recall_sql("coalesce(gold_answer, '')", "coalesce(agent_answer, '')")}) FILTER (WHERE grade = 'correct') - avg({recall_sql("coalesce(gold_answer, '')", "coalesce(agent_answer, '')")}) FILTER (WHERE grade = 'wrong') AS gap FROM human_grades)
+  SELECT round(gap, 4) AS gap, gap >= 0.25 AS separates FROM g""")
+def grade_gap(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether token recall parts correct answers from wrong ones."""
+    return metrics.grade_gap(table(spark, folder, "human_grades"))
 
 
 @query(f"""WITH {RERANKED}, b AS (SELECT qid, string_agg('[' || r.chunk_id || '] ' || text, chr(10) || chr(10) ORDER BY rank) AS context FROM reranked r JOIN p USING (chunk_id) GROUP BY qid)
