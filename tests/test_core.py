@@ -213,3 +213,13 @@ def test_config(tmp_path):
     path.write_text("abstain:\n  gate_a: false\nunknown:\n  x: 1\n")
     assert load_config(str(path)).abstain.gate_a is False and load_config(None) == Config()
     assert load_config(str(tmp_path / "none.yaml")) == Config()
+
+
+def test_a_document_of_many_units_packs_in_linear_time(spark):
+    long = "One two three four five six. " * 200_000
+    df = spark.createDataFrame([(1, long), (2, None), (3, " \n "), (4, "")], "doc_id long, text string")
+    got = chunking.chunks(df, "doc_id", "text", 96, 1).agg(F.count("*"), F.max("sent_last"), F.max("char_end")).first()
+    assert got[1] == 199_999 and got[2] == len(long) - 1
+    tokens = [7, 90, 3, 200, 1, 1, 96, 5]
+    assert chunking.windows(tokens, 96, 0) == [(0, 0), (1, 2), (3, 3), (4, 5), (6, 6), (7, 7)] and tokens[0] + tokens[1] > 96
+    assert chunking.windows([], 96, 1) == []
