@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from quarrymill.config import Config, load_config
 from quarrymill.functions import text as fn
 from quarrymill.operators import answers, chunking, metrics, retrieval
+from quarrymill.plans import flow
 from quarrymill.plans.ingest import ingest
-from quarrymill.sources import readers
+from quarrymill.sources import readers, sinks
 from quarrymill.streaming.ingest import chunk_stream
 
 DOC = "# Title One\n\nVersion 5.6.1 is safe. It is e.g. fixed in Sec. 4 of the guide! Was it? Yes.\n\n- item one. still one\n* item two\n| a | b. C |\n> quoted. Line\n\nLast words here"
@@ -223,3 +224,58 @@ def test_a_document_of_many_units_packs_in_linear_time(spark):
     tokens = [7, 90, 3, 200, 1, 1, 96, 5]
     assert chunking.windows(tokens, 96, 0) == [(0, 0), (1, 2), (3, 3), (4, 5), (6, 6), (7, 7)] and tokens[0] + tokens[1] > 96
     assert chunking.windows([], 96, 1) == []
+
+
+def test_sinks_and_sources_of_indexes_results_and_traces(spark, tmp_path):
+    p = spark.createDataFrame([("c1", "a b a"), ("c2", ""), ("c3", "b")], "chunk_id string, text string")
+    assert sinks.write_index(p, f"{tmp_path}/i") and not sinks.write_index(p.where("false"), f"{tmp_path}/i")
+    postings, vectors = readers.stored_index(spark, f"{tmp_path}/i")
+    assert sorted((r.chunk_id, r.dl, r.term, r.tf) for r in postings.collect()) == [("c1", 3, "a", 2), ("c1", 3, "b", 1), ("c3", 1, "b", 1)]
+    norms = {r.chunk_id: round(sum(x * x for x in r.vector), 9) for r in vectors.collect()}
+    assert norms == {"c1": 1.0, "c2": 0.0, "c3": 1.0} and readers.checked_vectors(vectors, p) is vectors
+    for v, c in ((vectors.where("chunk_id <> 'c1'"), p), (vectors, p.where("chunk_id <> 'c1'"))):
+        with pytest.raises(RuntimeError):
+            readers.checked_vectors(v, c)
+    assert readers.json_array(spark, f"{tmp_path}/none.json").isEmpty()
+    (tmp_path / "r.json").write_text('{"variants": {"full": {"records": [{"qid": "q1", "abstained": true, "gold_chunk_ids": ["c"]}, {"qid": "q2"}]}, "other": {"records": []}}}')
+    assert [(r.qid, r.abstained) for r in readers.result_records(spark, f"{tmp_path}/r.json", "full").collect()] == [("q1", True), ("q2", None)]
+    (tmp_path / "l.jsonl").write_text('{"qid": "q1"}\n\n{"qid": "q2"}\n')
+    assert [r.qid for r in readers.json_lines(spark, f"{tmp_path}/l.jsonl", readers.GOLD_SCHEMA).collect()] == ["q1", "q2"]
+    traces = spark.createDataFrame([("a", "{}"), ("b", "{}")], "stem string, trace string")
+    sinks.write_traces(traces, f"{tmp_path}/t")
+    assert sorted(r.stem for r in spark.read.json(f"{tmp_path}/t").collect()) == ["a", "b"]
+    cache = spark.createDataFrame([("k", "old", 1)], "key string, reply string, written_at long")
+    sinks.write_cache(cache, spark.createDataFrame([("k", "new", 2)], cache.schema), f"{tmp_path}/c")
+    assert spark.read.parquet(f"{tmp_path}/c").first().reply == "new"
+    assert sinks.results_name("gold") == "ablation_results" and sinks.results_name("holdout") == "ablation_results_holdout"
+    shuffled = spark.createDataFrame([(f"f{i:03d}",) for i in random.Random(1).sample(range(300), 300)], "path string")
+    assert {r.path: r.number for r in readers.numbered(shuffled, "path").collect()} == {f"f{i:03d}": i + 1 for i in range(300)}
+    with pytest.raises(ValueError):
+        metrics.checked_grades(spark.createDataFrame([("q", "great")], "qid string, grade string"))
+
+
+def test_flow_drops_ungrounded_and_unsupported_claims(spark):
+    p = spark.createDataFrame([("c1", "d", "T", "the gate opens on port 80 at noon"), ("c2", "d", "T", "the relay rests")], "chunk_id string, doc_id string, doc_title string, text string")
+    q = spark.createDataFrame([("q1", "the gate opens on port", True, "port 80", ["c1"], "x"), ("q2", "unseen words only", False, None, None, "y"), ("q3", "the relay rests", True, "", None, "x")], readers.GOLD_SCHEMA.split(", note")[0])
+    claim = "array<struct<text:string,citations:array<string>,quote:string>>"
+    said = [("q1", False, "m", [("the gate opens", ["c1", "zz"], "port 80"), ("made up", ["c1"], "port 81"), ("none of these words", ["c1"], None)]), ("q3", False, "m", [("nothing fits", ["c2"], None)])]
+    replies = spark.createDataFrame(said, f"qid string, insufficient boolean, generator string, claims {claim}")
+    config = Config()
+    out = flow.answer(q, p, flow.rank(q, p, config), config, lambda a, r, x: answers.from_replies(replies.join(a.select("qid"), "qid", "left_semi"), r, x, a))
+    got = {r.qid: r for r in out.records.collect()}
+    assert (got["q1"].answer_text, got["q1"].predicted_chunk_ids, got["q1"].dropped_claims, got["q1"].abstained) == ("the gate opens", ["c1"], ["none of these words"], False)
+    assert got["q2"].abstain_reason == "gate_a" and got["q2"].generator is None and got["q3"].abstain_reason == "gate_b" and got["q3"].dropped_claims == []
+    traced = {r.qid: r for r in flow.trace_fields(q, out).collect()}
+    assert traced["q1"].ungrounded_quotes == ["port 81"] and len(traced["q1"].verdicts) == 2 and traced["q2"].verdicts is None and traced["q1"].dense_candidates and traced["q1"].bm25_candidates[0] == "c1"
+    loose = flow.answer(q, p, out.rankings, config.with_overrides(flow.VARIANTS["dense"]))
+    assert not any(r.abstained for r in loose.records.collect())
+
+
+def test_bm25_in_small_blocks_equals_one_block(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice(["a", "b", "c", "dd", "ee", "the", "the"]) for _ in range(n))
+    p = spark.createDataFrame([(f"c{i:02d}", text(rng.randint(0, 9))) for i in range(40)], "chunk_id string, text string")
+    q = spark.createDataFrame([(f"q{i}", text(3)) for i in range(6)] + [("z", "unseen"), ("n", "")], "qid string, question string")
+    one = rows(retrieval.bm25_top(q, p, 5).select("qid", "rank", "chunk_id", "score"), "qid", "rank")
+    assert one == rows(retrieval.bm25_top(q, p, 5, block=3, part=7).select("qid", "rank", "chunk_id", "score"), "qid", "rank")
+    assert len(one) == 40 and [r[2] for r in one if r[0] == "z"] == ["c00", "c01", "c02", "c03", "c04"]
