@@ -572,9 +572,10 @@ def sent_ranges(chunks: DataFrame, bucket_chars: int = 65536) -> DataFrame:
     """(chunk_id, doc_id, sent_range): first and last unit of each chunk by its
     place among the distinct units of its document, counted from 0.
 
-    A unit's place is the number of units before its bucket of bucket_chars
-    characters, from a window over bucket counts only, plus its place within the
-    bucket, so that a document holding a third of all rows is never one task.
+    A unit's place is the number of units before its group of buckets, before its
+    bucket of bucket_chars characters in that group, and before it in its bucket, so
+    that a document holding a third of all rows is never one task: of a document of n
+    buckets no window has more than about the square root of n rows of counts.
     Chunks without units, or with null char_start or doc_id, get a null range."""
     keyed = with_units(chunks, "chunk_id", "text", ["doc_id", "char_start"])
     once = keyed.groupBy("chunk_id").agg(F.first(F.struct("doc_id", "char_start", "units")).alias("c")).select("chunk_id", "c.*")
@@ -583,7 +584,11 @@ def sent_ranges(chunks: DataFrame, bucket_chars: int = 65536) -> DataFrame:
     places = at.groupBy("doc_id", "bucket", "at").agg(F.collect_list("chunk_id").alias("ids"))
     inside = places.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "bucket").orderBy("at")) - 1)
     counts = places.groupBy("doc_id", "bucket").count()
-    before = counts.select("doc_id", "bucket", (F.sum("count").over(Window.partitionBy("doc_id").orderBy("bucket")) - F.col("count")).alias("before"))
+    widest = counts.groupBy("doc_id").agg(F.ceil(F.sqrt(F.max("bucket") + 1.0)).alias("width"))
+    counts = counts.join(widest, "doc_id").withColumn("group", F.floor(F.col("bucket") / F.col("width")))
+    running = lambda n, keys, order: F.sum(n).over(Window.partitionBy(*keys).orderBy(order)) - F.col(n)
+    groups = counts.groupBy("doc_id", "group").agg(F.sum("count").alias("n")).withColumn("ahead", running("n", ["doc_id"], "group"))
+    before = counts.withColumn("within", running("count", ["doc_id", "group"], "bucket")).join(groups, ["doc_id", "group"]).select("doc_id", "bucket", (F.col("ahead") + F.col("within")).alias("before"))
     placed = inside.join(before, ["doc_id", "bucket"]).select(F.explode("ids").alias("chunk_id"), (F.col("before") + F.col("nth")).cast("int").alias("nth"))
     ranges = placed.groupBy("chunk_id").agg(F.array(F.min("nth"), F.max("nth")).alias("sent_range"))
     return once.select("chunk_id", "doc_id").join(ranges, "chunk_id", "left")
