@@ -81,6 +81,7 @@ def _fold() -> tuple[dict[int, str | None], dict[int, str]]:
     return {ord(k): v for k, v in look.items()} | drop, small
 
 
+@lru_cache(maxsize=4096)
 def normalise(text: str | None) -> str:
     """Lower-case words of one visible form, separated by single blanks."""
     if not text:

@@ -19,6 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -48,8 +49,9 @@ VOCABULARY = 20_000
 PRIOR = 2.0
 #: Shares of endings under which a text surely and possibly breaks off, and from which it does not; some 10 % of all words end a sentence.
 RARELY, SELDOM, OFTEN = 0.02, 0.1, 0.3
-#: Hashed word features.
+#: Hashed word features, and their value where the word is there.
 WORD_FEATURES = 256
+WORD_WEIGHT = 0.3
 
 # What stands for no answer at all, after mark-up and punctuation are gone.
 PLACEHOLDERS = """
@@ -92,10 +94,21 @@ _SCRIPTS = (("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[一-鿿]")), ("
 _END = re.compile(r"[.!?…。！？؟।]+[\"'”“»」』)\]*_`]*\s*$")
 
 
+_DIGIT = re.compile(r"\d")
+
+
+@lru_cache(maxsize=200_000)
+def numeric(word: str) -> bool:
+    """Whether a word has a digit."""
+    return bool(_DIGIT.search(word))
+
+
+@lru_cache(maxsize=200_000)
 def bucket(text: str, buckets: int) -> int:
     return crc32(text.encode("utf-8", "surrogatepass")) % buckets
 
 
+_HEX = re.compile("[0-9a-f]")
 _CJK_CHAR = re.compile("([぀-ヿ一-鿿])")
 
 
@@ -107,7 +120,7 @@ def words_of(norm: str) -> list[str]:
 def shapes(text: str) -> list[str]:
     """Words in lower case, those with digits by their shape alone."""
     words = words_of(normalise(text))
-    return [w if not any(c.isdigit() for c in w) else re.sub("[0-9a-f]", "9", w) for w in words]
+    return [_HEX.sub("9", w) if numeric(w) else w for w in words]
 
 
 def script_language(text: str) -> str | None:
@@ -140,16 +153,16 @@ class Statistics:
 
     lang: np.ndarray  # languages x buckets
 
+    @cached_property
+    def odds(self) -> np.ndarray:
+        """Log odds of the languages for a word of each bucket."""
+        # smoothed over a vocabulary, so that a language without rows is no better than one with many
+        share = (self.lang + 0.5) / (self.lang.sum(1, keepdims=True) + 0.5 * VOCABULARY)
+        return np.clip(np.log(share / share.mean(0)), -3, 3)
+
     def word_language(self, text: str) -> np.ndarray:
         """Log odds of the Latin-script languages from the words of a text."""
-        odds = np.zeros(len(_LANGS))
-        # smoothed over a vocabulary, so that a language without rows is no better than one with many
-        seen = self.lang.sum(1) + 0.5 * VOCABULARY
-        for w in set(_LETTERS.findall(text.lower())):
-            if len(w) > 1:
-                p = (self.lang[:, bucket(w, LANG_BUCKETS)] + 0.5) / seen
-                odds += np.clip(np.log(p / p.mean()), -3, 3)
-        return odds
+        return self.odds[:, [bucket(w, LANG_BUCKETS) for w in set(_LETTERS.findall(text.lower())) if len(w) > 1]].sum(1)
 
 
 #: Of the last word of a text and of its pair with the word before it: how often each
@@ -203,7 +216,7 @@ def _count_words(question: str | None, gold: str | None, answer: str | None, spa
                     break
                 kind = 1 if last else 0
                 out.append((kind, w))
-                if n and not any(c.isdigit() for c in words[n - 1] + w):
+                if n and not numeric(w) and not numeric(words[n - 1]):
                     out.append((kind, words[n - 1] + " " + w))
     if question and script_language(question) == "latin":
         votes = latin_votes(question)
@@ -348,7 +361,7 @@ def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[
         low = raw.lower()
         inside = sum(w in asked_set for w in words) / max(1, len(words))
         reached = len(set(words) & asked_set) / max(1, len(asked_set))
-        new_number = any(any(c.isdigit() for c in w) and w not in asked_set for w in words)
+        new_number = any(numeric(w) and w not in asked_set for w in words)
         yes_no = bool(words) and any(w in YES_NO for w in words[:4])
         own_gold = has_gold and gold_norm in f" {norm} "
         refusal = bool(REFUSALS.search(low))
@@ -382,8 +395,8 @@ def clauses_of(question: str | None, gold: str | None, answer: str, spans: list[
         ]
         x[k, :PLAIN_FEATURES] = f
         for w in set(words):
-            if not any(c.isdigit() for c in w):
-                x[k, PLAIN_FEATURES + crc32(w.encode()) % WORD_FEATURES] = 0.3
+            if not numeric(w):
+                x[k, PLAIN_FEATURES + bucket(w, WORD_FEATURES)] = WORD_WEIGHT
         echo = inside >= 0.75 and reached >= 0.5 and not new_number and not yes_no and not own_gold
         if other_script or other_latin and margin > 5:
             silver[k] = FOREIGN
@@ -407,34 +420,39 @@ class Field:
     move: np.ndarray
 
 
+def _padded(rows: list[Clauses]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all clauses of some rows, where there are any, and the allowed tags."""
+    longest = max(len(r.silver) for r in rows)
+    on = np.zeros((len(rows), longest), bool)
+    allow = np.zeros((len(rows), longest, TAGS))
+    for i, r in enumerate(rows):
+        n = len(r.silver)
+        on[i, :n] = True
+        allow[i, :n] = (r.silver[:, None] < 0) | (r.silver[:, None] == np.arange(TAGS))
+    return np.concatenate([r.features for r in rows]), on, allow
+
+
 def fit_field(rows: list[Clauses], rounds: int = 80, rate: float = 0.15, ridge: float = 1e-4) -> Field:
     """Maximum conditional likelihood of the silver tags, by Adam; unsure clauses
-    are summed over."""
+    are summed over.  Rows of about the same length are worked through together."""
     rows = [r for r in rows if (r.silver >= 0).any()]
-    width = PLAIN_FEATURES + WORD_FEATURES
-    params = [np.zeros((width, TAGS)), np.zeros((TAGS, TAGS))]
+    params = [np.zeros((PLAIN_FEATURES + WORD_FEATURES, TAGS)), np.zeros((TAGS, TAGS))]
     if not rows:
         return Field(*params)
-    longest = min(max(len(r.spans) for r in rows), 12)
-    x = np.zeros((len(rows), longest, width), np.float32)
-    on = np.zeros((len(rows), longest), bool)
-    allow = np.zeros((len(rows), longest, TAGS))
-    for i, r in enumerate(rows):
-        n = min(longest, len(r.spans))
-        x[i, :n], on[i, :n] = r.features[:n], True
-        for k in range(n):
-            if r.silver[k] < 0:
-                allow[i, k] = 1
-            else:
-                allow[i, k, r.silver[k]] = 1
-    flat = x[on]
+    groups: dict[int, list[Clauses]] = {}
+    for r in rows:
+        groups.setdefault(len(r.silver).bit_length(), []).append(r)
+    parts = [_padded(g) for _, g in sorted(groups.items())]
     steps = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
     for t in range(1, rounds + 1):
-        scores = np.zeros((*on.shape, TAGS))
-        scores[on] = flat @ params[0].astype(np.float32)
-        free, moves = _marginals(scores, params[1], on, np.ones_like(allow))
-        held, moves_held = _marginals(scores, params[1], on, allow)
-        grads = [(flat.T @ (held - free)[on].astype(np.float32)).astype(float) / len(rows), (moves_held - moves) / len(rows)]
+        grads = [np.zeros_like(p) for p in params]
+        for flat, on, allow in parts:
+            scores = np.zeros((*on.shape, TAGS))
+            scores[on] = flat @ params[0].astype(np.float32)
+            free, moves = _marginals(scores, params[1], on, np.ones_like(allow))
+            held, moves_held = _marginals(scores, params[1], on, allow)
+            grads[0] += (flat.T @ (held - free)[on].astype(np.float32)).astype(float) / len(rows)
+            grads[1] += (moves_held - moves) / len(rows)
         for p, g, s in zip(params, grads, steps, strict=True):
             g = g - ridge * p
             s[0] = 0.9 * s[0] + 0.1 * g
@@ -516,14 +534,28 @@ def _seen(table: pa.RecordBatch | pa.Table) -> list[Seen | None]:
 
 
 def fit(pairs: DataFrame, stats: Statistics, seen: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
-    """The field fitted on about sample_rows rows, at most twice as many, drawn by a hash of the row."""
+    """The field fitted on about sample_rows rows, at most twice as many, drawn by a hash of
+    the row.  Their features are made in tasks; the driver gets those of the sample only."""
     some = pairs.where(F.col("gold_answer").isNotNull() & F.col("agent_answer").isNotNull())
     chance = min(1.0, sample_rows / max(1, some.count()))
     drawn = F.pmod(F.xxhash64("grade_id", "question", "agent_answer"), F.lit(2**40)) < F.lit(int(chance * 2**40))
-    sample = with_seen(some.where(drawn), seen).limit(2 * sample_rows).toArrow()
-    drawn_rows = sorted(zip(_rows(sample, 1), _seen(sample), strict=True), key=lambda r: (r[0][0] or "", *r[0][1:]))
-    rows = [r for r in drawn_rows if not is_empty(r[0][2])]
-    return fit_field([clauses_of(*row, spans, stats, words) for (row, words), spans in zip(rows, _units([r[2] for r, _ in rows]), strict=True)])
+    sample = with_seen(some.where(drawn), seen).limit(2 * sample_rows)
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All features are there or not, and go as bits."""
+        for batch in batches:
+            rows = [(r, words) for r, words in zip(_rows(batch, 1), _seen(batch), strict=True) if not is_empty(r[2])]
+            made = [clauses_of(*r, spans, stats, words) for (r, words), spans in zip(rows, _units([r[2] for r, _ in rows]), strict=True)]
+            bits = [np.packbits(c.features > 0, axis=1).tobytes() for c in made]
+            yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary()), pa.array([c.silver.tolist() for c in made], pa.list_(pa.int32()))], ["bits", "silver"])
+
+    rows = []
+    for r in sorted(sample.mapInArrow(featured, "bits binary, silver array<int>").toArrow().to_pylist(), key=lambda r: (r["bits"], r["silver"])):
+        silver = np.array(r["silver"])
+        x = np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(len(silver), -1), axis=1)[:, : PLAIN_FEATURES + WORD_FEATURES].astype(np.float32)
+        x[:, PLAIN_FEATURES:] *= WORD_WEIGHT
+        rows.append(Clauses([], x, silver))
+    return fit_field(rows)
 
 
 def defective_pairs(pairs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:

@@ -133,6 +133,35 @@ def test_last_words_are_counted_exactly(spark):
     assert {r.grade_id: r.go for r in pairs.with_seen(df, pairs.seen_words(df, words)).collect()} == {1: 70000, 2: 0, 3: None}
 
 
+def test_truncated_answers_are_found_at_a_thousand_times_the_counts(spark):
+    rng = random.Random(2)
+    data = [(n, f"On which port does Alpha{n} accept the record?", f"port {rng.randint(1000, 9999)}", f"Alpha{n} accepts the record on a port. The loader of Alpha{n} rejects each request because it is patched.", None, None) for n in range(60)]
+    cut = [(900 + n, q, g, a[: -9 - n % 3], None, None) for n, (_, q, g, a, _, _) in enumerate(data[:12])]
+    df = spark.createDataFrame([*data, *cut], QUESTIONS)
+    stats, words = pairs.count(df)
+    for times in (1, 1000):
+        more = words.select("key", (F.col("end") * times).alias("end"), (F.col("go") * times).alias("go"))
+        seen = pairs.seen_words(df, more)
+        field = pairs.fit(df, stats, seen)
+        rows = pairs.with_seen(df, seen).toArrow().to_pylist()
+        got = {r["grade_id"]: pairs.defect_of(r["question"], r["gold_answer"], r["agent_answer"], pairs._units([r["agent_answer"]])[0], None if r["go"] is None else tuple(r[c] for c in pairs.SEEN), field, stats)[0] for r in rows}
+        assert sum(got[n] == "truncated" for n, *_ in cut) >= 11 and not any(got[n] for n, *_ in data), times
+
+
+def test_long_responses_enter_the_fit_whole():
+    rng = np.random.default_rng(4)
+    width = pairs.PLAIN_FEATURES + pairs.WORD_FEATURES
+    rows = []
+    for n in (1, 2, 3, 40, 40):
+        silver = np.where(np.arange(n) == n - 1, pairs.UNFINISHED, pairs.ANSWER)
+        x = np.zeros((n, width), np.float32)
+        x[:, 0] = 1
+        x[-1, 20] = 1
+        rows.append(pairs.Clauses([], x + rng.normal(0, 1e-3, x.shape).astype(np.float32), silver))
+    field = pairs.fit_field(rows)
+    assert all((pairs.best_tags(field, r.features) == r.silver).all() for r in rows)
+
+
 def test_field_marginals_against_all_taggings():
     rng = np.random.default_rng(0)
     scores, move = rng.normal(size=(1, 3, pairs.TAGS)), rng.normal(size=(pairs.TAGS, pairs.TAGS))
