@@ -32,10 +32,10 @@ from .components import checkpointed
 
 #: Share of an evaluation question that its passages must cover in a training question.
 COVERED = 0.5
-#: Distinct passages of an automaton, and training texts of a block, of which there are LEAST_BLOCKS at least.
+#: Distinct passages of an automaton, training texts of a block, and the least number of scans of a block.
 SHARD = 50_000
 BLOCK = 20_000
-LEAST_BLOCKS = 8
+LEAST_SCANS = 8
 #: Parts of the training texts that the same passage hits.
 SALTS = 8
 
@@ -293,7 +293,7 @@ def scan(passages: DataFrame, train: DataFrame, shard: int = SHARD, block: int =
     ``block`` of them in a task; only bounded blocks of both sides are copied."""
     some = passages.select("passage").distinct()
     n_shards = max(1, -(-some.count() // shard))
-    n_blocks = max(LEAST_BLOCKS, -(-train.count() // block))
+    n_blocks = max(-(-LEAST_SCANS // n_shards), -(-train.count() // block))
     number = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = some.select("passage", number("passage", n_shards).alias("shard"), every(n_blocks).alias("block"))
