@@ -52,6 +52,10 @@ def p3_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return visible.normalised(_table(spark, folder, "verifier_bench"), "vid", "quote")
 
 
+SQL["p3_chunks"] = visible.visible_sql("chunks", "chunk_id", "text")
+SQL["p3_quotes"] = visible.visible_sql("verifier_bench", "vid", "quote")
+
+
 def _least_span(spark: SparkSession, folder: str) -> int:
     row = _table(spark, folder, "size_limits").where("limit_name = 'shared_span'").select("max_size").first()
     return row[0] if row else 240

@@ -41,22 +41,38 @@ def _char_class(chars: str) -> str:
     return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
-@lru_cache(maxsize=1)
-def macro_sql() -> str:
-    """DuckDB macro visible(s): s in the one form."""
+#: Stands for the text in the SQL of a step; private-use, so in no table of characters.
+_TEXT = chr(0xE000)
+
+
+def _steps() -> tuple[str, str]:
+    """SQL of the two steps, _TEXT standing for the text: invisible and single characters,
+    then ligatures and look-alikes."""
     single, alike, multi = glyphs.compat_single(), glyphs.lookalike_single(), glyphs.compat_multi()
     spelled = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in multi.items()) + "}"
     ligature = _quoted(_char_class("".join(multi)))
-    bare = f"regexp_replace(s, {_quoted(_char_class(glyphs.invisible()))}, '', 'g')"
-    forms = f"translate({bare}, {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"
+    forms = f"translate(regexp_replace({_TEXT}, {_quoted(_char_class(glyphs.invisible()))}, '', 'g'), {_quoted(''.join(single))}, {_quoted(''.join(single.values()))})"
+    spell = f"CASE WHEN regexp_matches({_TEXT}, {ligature}) THEN array_to_string(list_transform(string_split({_TEXT}, ''), lambda c: coalesce({spelled}[c], c)), '') ELSE {_TEXT} END"
+    return forms, f"nfc_normalize(translate(nfc_normalize({spell}), {_quoted(''.join(alike))}, {_quoted(''.join(alike.values()))}))"
+
+
+@lru_cache(maxsize=1)
+def macro_sql() -> str:
+    """DuckDB macro visible(s): s in the one form."""
+    forms, rest = _steps()
     return f"""
-CREATE OR REPLACE MACRO spelled_out(s) AS CASE WHEN regexp_matches(s, {ligature})
-  THEN array_to_string(list_transform(string_split(s, ''), lambda c: coalesce({spelled}[c], c)), '') ELSE s END;
-CREATE OR REPLACE MACRO visible(s) AS
-  nfc_normalize(translate(nfc_normalize(spelled_out({forms})), {_quoted(''.join(alike))}, {_quoted(''.join(alike.values()))}));
+CREATE OR REPLACE MACRO lettered(s) AS {rest.replace(_TEXT, "s")};
+CREATE OR REPLACE MACRO visible(s) AS lettered({forms.replace(_TEXT, "s")});
 """
 
 
+def visible_sql(table: str, key: str, text: str) -> str:
+    """One query for (key, text, text_visible) of a table, without macros."""
+    forms, rest = _steps()
+    first = f"SELECT {key}, {text} AS text, {forms.replace(_TEXT, text)} AS s FROM {table}"
+    return f"SELECT {key}, text, {rest.replace(_TEXT, 's')} AS text_visible FROM ({first})"
+
+
 def _connection():  # noqa: ANN202
     import duckdb
 
