@@ -135,7 +135,7 @@ def bm25_top(questions: DataFrame, passages: DataFrame, k: int, block: int = 409
         (questions.select("qid").distinct(), asked.join(known.select("term", "number"), "term").select("qid", F.struct("number", F.col("times").alias("weight")).alias("w")), "qid"),
         (passages.select("chunk_id").distinct(), hits, "chunk_id"),
     ]
-    n_blocks, n_parts = max(1, -(-sides[0][0].count() // block)), max(1, -(-sides[1][0].count() // part))
+    n_blocks, n_parts = max(1, -(-questions.count() // block)), max(1, -(-int(totals.first()["n"]) // part))
     number = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = F.expr("cast(array() as array<struct<number:bigint,weight:double>>)")

@@ -271,7 +271,7 @@ FUSED, RERANKED = candidates_sql(Q), reranked_sql(Q)
 
 
 def _rankings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, flow.Rankings]:
-    q, p = asked(spark, folder), checkpointed(passages(spark, folder))  # read by every stage
+    q, p = checkpointed(asked(spark, folder)), checkpointed(passages(spark, folder))  # read by every stage
     return q, p, flow.rank(q, p, Config())
 
 
@@ -283,7 +283,7 @@ def _reranked(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
 @query(f"WITH {FUSED} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM bm25")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Best passages of every hundredth gold question."""
-    found = retrieval.bm25_top(asked(spark, folder), passages(spark, folder), _R.bm25_k)
+    found = retrieval.bm25_top(checkpointed(asked(spark, folder)), checkpointed(passages(spark, folder)), _R.bm25_k)
     return found.select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
