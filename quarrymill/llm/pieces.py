@@ -4,8 +4,9 @@ A text over the limit is cut at the strongest boundary near its midpoint, and
 each half that is still over the limit less the overlap is cut again.  Then each
 piece but the first is led by the end of the one before it.  Boundaries are, from
 strong to weak: a blank line between units, any end of a unit, a line break, a
-blank, any character.  A stronger kind is left for a weaker one only where it has
-no place that lets the pieces fit.
+blank, any character.  A blank line far from the midpoint gives way to any end of a
+unit near it; else a stronger kind is left for a weaker one only where the stretch
+has no place of it.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def _nearest(places: list[int], low: int, high: int, middle: int) -> int | None:
 def bisect(length: int, levels: list[list[int]], room: int) -> list[int]:
     """Ascending cuts, 0 and length included, that leave stretches of at most room.
 
-    levels are the places of the boundaries, strong to weak, each sorted."""
+    levels are the places of the boundaries, strong to weak, each sorted; the first are
+    taken near the midpoint only, being among the second as well."""
     done, work = [0], [(0, length)]
     while work:
         a, b = work.pop()
@@ -46,9 +48,9 @@ def bisect(length: int, levels: list[list[int]], room: int) -> list[int]:
             continue
         middle, reach = (a + b) // 2, int((b - a) * NEAR)
         cut = None
-        for places in levels:  # near the midpoint first, then anywhere, before a weaker kind
+        for k, places in enumerate(levels):  # near the midpoint first, then anywhere, before a weaker kind
             cut = _nearest(places, max(a + 1, middle - reach), min(b - 1, middle + reach), middle)
-            if cut is None:
+            if cut is None and k:
                 cut = _nearest(places, a + 1, b - 1, middle)
             if cut is not None:
                 break

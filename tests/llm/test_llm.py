@@ -259,6 +259,16 @@ def test_pieces_fit_overlap_and_give_back_the_text(text, limit, wanted):
     assert all(q[0] == max(0, p[1] - held) and q[1] > p[1] for p, q in zip(got, got[1:]))
 
 
+def test_a_cut_is_near_the_middle_where_a_unit_ends_there():
+    head, line = "A heading.", "One sentence of this page ends here. "
+    text = head + "\n\n" + line * 8
+    units = [(a, b) for a, b in zip(*sentences.unit_spans([text])[1:])]
+    got = pieces.split(text, units, 200, 0)
+    assert min(b - a for a, b in got) > 80  # the blank line at the edge cuts no sliver off
+    assert all(text[a:b].rstrip().endswith(".") for a, b in got)
+    assert pieces.bisect(100, [[10], [10], []], 95) == [0, 10, 100]  # where no unit ends near the middle, anywhere
+
+
 def test_pieces_of_a_table(spark):
     long = " ".join(f"Sentence number {i} ends here." for i in range(30))
     data = [("c1", "d", long, 7, "", "", 1), ("c1", "d", long, 7, "", "", 2), ("c2", "d", "short", 0, "", "", 0), ("c3", "d", None, 0, "", "", 0), ("c4", "d", "x" * 450, None, "", "", 0)]
