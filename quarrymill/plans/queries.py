@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import text as fn
 from ..operators import answers, chunking, metrics, retrieval
-from ..operators.lineage import checkpointed
+from ..operators.lineage import checkpointed, stored
 from ..sources.tables import table
 from . import flow
 
@@ -739,7 +739,7 @@ def _signals(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["qid", "question", "is_answerable"]
     held = answers.latest(table(spark, folder, "holdout").where("question is not null").select("qid", "added_at", "question", "is_answerable", "gold_answer", "gold_chunk_ids", "bucket", "split"), "qid", "added_at")
     q = checkpointed(gold(spark, folder).select(*columns).unionByName(held.where(metrics.usable_for_calibration(F.col("split"))).select(*columns)))
-    p = checkpointed(passages(spark, folder))
+    p = stored(passages(spark, folder).select("chunk_id", "text"))
     reranked = retrieval.rerank(flow.rank(q, p, Config()).fused(Config()), q, p, _R.final_k)
     signal = answers.gate_a(q, reranked, _A.min_rerank_score).select("qid", F.col("signal").alias("score"))
     return q.select("qid", F.coalesce("is_answerable", F.lit(False)).alias("label")).join(signal, "qid")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrymill.config import Config, load_config
 from quarrymill.functions import text as fn
 from quarrymill.operators import answers, chunking, lineage, metrics, retrieval, search
-from quarrymill.plans import flow
+from quarrymill.plans import flow, queries
 from quarrymill.plans.ingest import ingest
 from quarrymill.sources import readers, sinks
 from quarrymill.streaming.ingest import chunk_stream
@@ -368,3 +368,19 @@ def test_traces_group_all_lists_at_once(spark):
     assert plan.count("Join ") == 2  # records and lists; more joins and sorts than that share the memory of a task
     got = {r.qid: r for r in fields.collect()}
     assert got["q1"].dense_candidates == ["c1", "c2"] and [x.chunk_id for x in got["q1"].reranked] == ["c1", "c2"] and got["q2"].verdicts is None and got["q2"].ungrounded_quotes is None
+
+
+def test_a_stored_copy_keeps_its_rows_and_leaves_no_shuffle_files(spark):
+    files = lambda: {str(f) for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*")}
+    before = files()
+    df = spark.range(1000).selectExpr("cast(id % 10 as string) as k", "id", "array(id, null) as a").groupBy("k").agg(F.sum("id").alias("s"), F.max("a").alias("a"))
+    copy = lineage.stored(df)
+    assert not files() - before and copy.inputFiles() and copy.dtypes == df.dtypes
+    assert sorted(copy.collect()) == sorted(df.collect())
+
+
+def test_calibration_writes_no_more_of_the_passages_than_the_search_reads(spark, monkeypatch):
+    seen, rank = [], queries.flow.rank
+    monkeypatch.setattr(queries.flow, "rank", lambda q, p, c: seen.extend([p, rank(q, p, c)]) or seen[1])
+    assert queries.QUERIES["calibration_sweep"](spark, "/root/testdata/sf0.001").count() > 1
+    assert seen[0].columns == ["chunk_id", "text"] and seen[0].inputFiles() and seen[1].dense.inputFiles()
