@@ -633,7 +633,7 @@ recs AS MATERIALIZED (SELECT variant, qid, question, bucket, coalesce(is_answera
 
 def _whole(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, flow.Generator]:
     """All gold questions, the passages, and the recorded answers."""
-    return checkpointed(gold(spark, folder)), checkpointed(passages(spark, folder)), recorded(table(spark, folder, "human_grades"))
+    return checkpointed(gold(spark, folder)), stored(passages(spark, folder)), recorded(table(spark, folder, "human_grades"))
 
 
 _REAL = "generator NOT LIKE 'extractive-fallback%' AND generator NOT IN ('cache', 'none', 'unknown')"

@@ -384,3 +384,13 @@ def test_calibration_writes_no_more_of_the_passages_than_the_search_reads(spark,
     monkeypatch.setattr(queries.flow, "rank", lambda q, p, c: seen.extend([p, rank(q, p, c)]) or seen[1])
     assert queries.QUERIES["calibration_sweep"](spark, "/root/testdata/sf0.001").count() > 1
     assert seen[0].columns == ["chunk_id", "text"] and seen[0].inputFiles() and seen[1].dense.inputFiles()
+
+
+def test_only_cited_passages_are_read_to_ground_and_verify(spark, monkeypatch):
+    seen, ground, verify = [], answers.ground, answers.verify
+    monkeypatch.setattr(answers, "ground", lambda each, p: seen.append((each, p)) or ground(each, p))
+    monkeypatch.setattr(answers, "verify", lambda each, p, *a: seen.append((each, p)) or verify(each, p, *a))
+    queries.QUERIES["flow_records"](spark, "/root/testdata/sf0.001")
+    wanted = {r[0] for r in seen[0][0].select(F.explode("citations")).distinct().collect()}
+    have = [sorted(r.chunk_id for r in p.select("chunk_id").collect()) for _, p in seen]
+    assert wanted and have == [sorted(wanted)] * 2 and len(wanted) < queries.passages(spark, "/root/testdata/sf0.001").count()
