@@ -692,8 +692,9 @@ def retrieval_mrr(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {RECORDS} SELECT generator, count(*) AS n, NOT ({_REAL}) AS synthetic FROM recs WHERE variant = 'full' AND generator IS NOT NULL GROUP BY generator")
 def generator_mix(spark: SparkSession, folder: str) -> DataFrame:
     """Who made the answers."""
-    _, out = _full(spark, folder)
-    return metrics.generator_mix(out.answers)
+    q, p = checkpointed(gold(spark, folder)), stored(passages(spark, folder).select("chunk_id", "text"))
+    *_, made = flow.reply(q, p, flow.rank(q, p, Config()), Config(), recorded(table(spark, folder, "human_grades")))
+    return metrics.generator_mix(made)
 
 
 @query(f"""WITH {RECORDS}, m AS (SELECT generator, count(*) AS n, {_REAL} AS real FROM recs WHERE variant = 'full' AND generator IS NOT NULL GROUP BY generator)

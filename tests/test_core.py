@@ -394,3 +394,11 @@ def test_only_cited_passages_are_read_to_ground_and_verify(spark, monkeypatch):
     wanted = {r[0] for r in seen[0][0].select(F.explode("citations")).distinct().collect()}
     have = [sorted(r.chunk_id for r in p.select("chunk_id").collect()) for _, p in seen]
     assert wanted and have == [sorted(wanted)] * 2 and len(wanted) < queries.passages(spark, "/root/testdata/sf0.001").count()
+
+
+def test_answers_are_counted_without_grounding_them(spark, monkeypatch):
+    _, out = queries._full(spark, "/root/testdata/sf0.001")
+    want = metrics.generator_warning(metrics.generator_mix(out.answers)).collect()
+    monkeypatch.setattr(answers, "ground", None)
+    assert queries.QUERIES["generator_warning"](spark, "/root/testdata/sf0.001").collect() == want
+    assert want[0][0] > 0
